@@ -81,6 +81,8 @@ def check_requests(
     Requests that are fine on their own but want the same seat are served in
     order of time, exactly as if they came one after the other.
     """
+    asked_shows = requests.select("show_id").distinct()
+    show_seats = show_seats.join(asked_shows, "show_id", "left_semi")
     open_seats = show_seats.groupBy("show_id").agg(F.count_if(F.col("status") == "AVAILABLE").alias("_open"))
     wanted = requests.select("request_id", "show_id", F.explode(F.array_distinct("seat_ids")).alias("seat_id"))
     problem = F.when(F.col("status").isNull(), F.concat(F.lit(V.SEAT_NOT_FOUND), "seat_id")).when(
