@@ -44,7 +44,9 @@ def split_feed(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     user, movie, amount or time, is a reject with its reason.
     """
     schema = PAYMENT_EVENT_JSON + ", _corrupt_record string"
-    parsed = records.withColumn("_e", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    # Exploded rather than a plain column, so that every record is parsed once, not once per use of a field.
+    event = F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt_record"})
+    parsed = records.withColumn("_e", F.explode(F.array(event)))
     required = ["paymentId", "userId", "movieId", "amount", "time"]
     missing = F.array_compact(F.array(*[F.when(F.col(f"_e.{f}").isNull(), F.lit(f)) for f in required]))
     reason = F.when(F.col("_e").isNull() | F.col("_e._corrupt_record").isNotNull(), "not readable").when(
