@@ -33,13 +33,15 @@ def anchored_windows(
     length_us: int,
     position: str = "position",
     rows_per_chunk: int = ROWS_PER_CHUNK,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Add `position`: 1 for a row that opens a window, 2 for the next in it, ...
 
-    Rows without a key belong to no window and are left out.
+    Rows without a key belong to no window and are left out.  `source` may name
+    the stored table the rows come from (see `hot_keys`).
     """
     keyed = df.filter(F.col(key).isNotNull())
-    hot = hot_keys(keyed, key, micros(ts), rows_per_chunk)
+    hot = hot_keys(keyed, key, micros(ts), rows_per_chunk, source)
     if hot is None:
         rows = keyed.withColumn("_chunk", F.lit(0).cast("long"))
         rows = rows.withColumn("_t", micros(ts)).withColumn("_seen", F.lit(None).cast("long"))

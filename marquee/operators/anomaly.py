@@ -18,6 +18,7 @@ def with_history(
     fast_count: int = V.FAST_COUNT,
     sizes: DataFrame | None = None,
     rows_per_chunk: int = ROWS_PER_CHUNK,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Events with what the rules need from the same user's earlier events.
 
@@ -25,12 +26,13 @@ def with_history(
     of rows, so users too large for one task are cut into chunks that see the
     rows before them.  An event without user has no history; it gets a key of
     its own instead of meeting all others like it in one partition.  `sizes`
-    may name a cheaper table that holds at least the same rows per user.
+    may name a cheaper table that holds at least the same rows per user, `source`
+    the stored table behind it (see `hot_keys`).
     """
     own_key = F.coalesce(F.concat(F.lit("u"), "user_id"), F.concat(F.lit("e"), "event_id"))
     events = events.withColumn("_who", own_key)
     sizes = events if sizes is None else sizes.withColumn("_who", own_key)
-    hot = hot_keys(sizes, "_who", micros("event_time"), rows_per_chunk)
+    hot = hot_keys(sizes, "_who", micros("event_time"), rows_per_chunk, source)
     by = ["_who"]
     if hot is not None:
         by = ["_who", "_chunk"]

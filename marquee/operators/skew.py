@@ -24,13 +24,18 @@ def micros(ts: Column | str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp") if isinstance(ts, str) else ts.cast("timestamp"))
 
 
-def hot_keys(df: DataFrame, key: str, pos: Column, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame | None:
+def hot_keys(
+    df: DataFrame, key: str, pos: Column, rows_per_chunk: int = ROWS_PER_CHUNK, source: DataFrame | None = None
+) -> DataFrame | None:
     """Keys above `rows_per_chunk` rows with the start and width of their chunks.
 
     `pos` is the whole-number position that leads the window order.  The count
     is combined map-side, the result never exceeds MAX_HOT_KEYS rows, and None
-    means that no key needs splitting.
+    means that no key needs splitting.  `source` may name a stored table of at
+    least as many rows: its row count, read from file footers, may settle it.
     """
+    if source is not None and source.count() <= rows_per_chunk:
+        return None
     hot = materialize(
         df.filter(F.col(key).isNotNull())
         .groupBy(key)

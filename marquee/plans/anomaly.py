@@ -14,7 +14,7 @@ AS_OF = "2024-01-31"
 
 
 def judged(v: Views) -> DataFrame:
-    return A.with_history(accepted(v), fast_seconds=FAST_SECONDS, sizes=v.payment_events)
+    return A.with_history(accepted(v), fast_seconds=FAST_SECONDS, sizes=v.payment_events, source=v.table("events"))
 
 
 def logs(v: Views) -> DataFrame:

@@ -129,4 +129,4 @@ def _flags(v: Views) -> DataFrame:
     ),
 )
 def _throttle(v: Views) -> DataFrame:
-    return Q.login_throttle(v.login_attempts, limit=2, seconds=86_400)
+    return Q.login_throttle(v.login_attempts, limit=2, seconds=86_400, source=v.table("events"))

@@ -13,7 +13,7 @@ DAY = 86_400  # repeats in the given events are days apart
 
 
 def accepted(v: Views) -> DataFrame:
-    return R.dedup_events(v.payment_events, DAY)
+    return R.dedup_events(v.payment_events, DAY, source=v.table("events"))
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -100,5 +100,5 @@ def _top_movies(v: Views) -> DataFrame:
     ),
 )
 def _metrics(v: Views) -> DataFrame:
-    placed = anchored_windows(v.payment_events, "payment_id", "event_time", "event_id", DAY * 1_000_000, "_nth")
+    placed = anchored_windows(v.payment_events, "payment_id", "event_time", "event_id", DAY * 1_000_000, "_nth", source=v.table("events"))
     return R.event_metrics(placed)

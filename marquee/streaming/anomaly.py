@@ -20,8 +20,6 @@ from marquee import fixed_values as V
 from marquee.operators.anomaly import anomaly_logs
 from marquee.operators.skew import micros
 
-EXPIRY_US = V.HISTORY_DAYS * 86_400_000_000
-
 _JUDGEMENT = [
     T.StructField("is_fast", T.BooleanType()),
     T.StructField("is_device_change", T.BooleanType()),
@@ -46,7 +44,7 @@ def with_history(
     if not _has_watermark(events):
         keyed = keyed.withWatermark("event_time", lateness)
     return keyed.groupBy("_who").transformWithState(
-        _History(fast_seconds * 1_000_000, fast_count), schema, "Append", "EventTime", eventTimeColumnName="event_time"
+        _History(fast_seconds * 1_000_000, fast_count, V.HISTORY_LENGTH, V.HISTORY_MINIMUM, V.HISTORY_DAYS), schema, "Append", "EventTime", eventTimeColumnName="event_time"
     )
 
 
@@ -62,8 +60,9 @@ def detect(events: DataFrame, high_amount: float = V.HIGH_AMOUNT, **rules) -> Da
 class _History(StatefulProcessor):
     """State per user: the last amounts with their times, and the last address."""
 
-    def __init__(self, fast_us: int, fast_count: int):
+    def __init__(self, fast_us: int, fast_count: int, length: int, minimum: int, days: int):
         self.fast_us, self.fast_count = fast_us, fast_count
+        self.length, self.minimum, self.expiry_us = length, minimum, days * 86_400_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -78,13 +77,13 @@ class _History(StatefulProcessor):
         for row in sorted(rows, key=lambda r: (r["_t"], r["event_id"])):
             t = row["_t"]
             near = sum(t - then <= self.fast_us for then, _ in recent[-(self.fast_count - 1) :])
-            if recent and t - recent[-1][0] >= EXPIRY_US:
+            if recent and t - recent[-1][0] >= self.expiry_us:
                 recent = []
-            past = np.array([a for _, a in recent[-V.HISTORY_LENGTH :]])
+            past = np.array([a for _, a in recent[-self.length :]])
             n = len(past)
             mean = float(past.mean()) if n else None
             sd = float(past.std()) if n else None
-            judged = n >= V.HISTORY_MINIMUM and sd > 0
+            judged = n >= self.minimum and sd > 0
             kept = row.asDict()
             del kept["_t"], kept["_who"]
             yield Row(
@@ -96,7 +95,7 @@ class _History(StatefulProcessor):
                 history_sd=sd,
                 z=(row["amount"] - mean) / sd if judged else None,
             )
-            recent = [*recent, (t, row["amount"])][-V.HISTORY_LENGTH :]
+            recent = [*recent, (t, row["amount"])][-self.length :]
             ip = row["device_ip"]
         if known:
             self.recent.put(recent)
@@ -104,7 +103,7 @@ class _History(StatefulProcessor):
                 self.address.update((ip,))
             for timer in self.handle.listTimers():
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer((recent[-1][0] + EXPIRY_US) // 1000 + 1)
+            self.handle.registerTimer((recent[-1][0] + self.expiry_us) // 1000 + 1)
 
     def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         self.recent.clear()
