@@ -87,76 +87,78 @@ def recommend(
     Movies that share no genre with the user score 0 and fill up what is missing.
     """
     watched = materialize(watched)
+    genres_of = materialize(movie_genre.groupBy("movie_id").agg(F.sort_array(F.collect_set("genre")).alias("genres")))
+    # A set of genres goes by the smallest movie id that has it.
     sets = materialize(
-        movie_genre.groupBy("movie_id")
-        .agg(F.sort_array(F.collect_set("genre")).alias("genres"))
-        .withColumn("genre_set", F.to_json("genres"))
+        genres_of.groupBy("genres").agg(F.min("movie_id").alias("set_id"), F.count(F.lit(1)).alias("movies"))
     )
-    # One row per movie: its genre set, its place in that set and among all movies.
-    placed = rank_within(sets, "genre_set", F.col("movie_id"), [F.col("movie_id")], "place", rows_per_chunk)
-    placed = rank_within(
-        placed.withColumn("_all", F.lit(0)), "_all", F.col("movie_id"), [F.col("movie_id")], "overall", rows_per_chunk
-    )
-    placed = materialize(placed.select("movie_id", "genre_set", "place", "overall"))
-    set_sizes = sets.groupBy("genre_set").agg(
-        F.count(F.lit(1)).alias("movies"), F.first(F.size("genres")).alias("set_norm2"), F.first("genres").alias("genres")
-    )
-    set_genres = small(set_sizes.select("genre_set", "movies", "set_norm2", F.explode("genres").alias("genre")))
+    in_set = genres_of.join(sets, "genres").select("movie_id", "set_id")
+    # One row per movie: its set, its place in that set and its place among all movies.
+    by_id = [F.col("movie_id")]
+    placed = rank_within(in_set, "set_id", F.col("movie_id"), by_id, "place", rows_per_chunk)
+    placed = rank_within(placed.withColumn("_all", F.lit(0)), "_all", F.col("movie_id"), by_id, "overall", rows_per_chunk)
+    placed = materialize(placed.drop("_all"))
+    set_genres = small(sets.select("set_id", "movies", F.size("genres").alias("set_norm2"), F.explode("genres").alias("genre")))
 
-    vectors = user_genre_vector(watched, movie_genre)
     of_user = Window.partitionBy("user_id")
-    vectors = vectors.withColumn("user_norm2", F.sum(F.col("weight") * F.col("weight")).over(of_user))
+    # Every vector row meets dozens of sets: as many tasks as the session allows, not as few as the
+    # vectors themselves would need.
+    tasks = int(watched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    vectors = (
+        user_genre_vector(watched, movie_genre)
+        .repartition(tasks, "user_id")
+        .withColumn("user_norm2", F.sum(F.col("weight") * F.col("weight")).over(of_user))
+    )
     # Watched movies per set as one map per user: joining it on the user alone keeps
     # everything from the vectors to the choice of sets in one partitioning.
     seen_in_set = (
         watched.select("user_id", "movie_id")
-        .join(placed, "movie_id")
-        .groupBy("user_id", "genre_set")
+        .join(placed.select("movie_id", "set_id"), "movie_id")
+        .groupBy("user_id", "set_id")
         .agg(F.count(F.lit(1)).alias("seen"))
         .groupBy("user_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("genre_set", "seen"))).alias("_seen"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("set_id", "seen"))).alias("_seen"), F.sum("seen").alias("_watched"))
     )
     scored = (
         vectors.join(set_genres, "genre")
-        .groupBy("user_id", "genre_set", "user_norm2", "movies", "set_norm2")
+        .groupBy("user_id", "set_id", "user_norm2", "movies", "set_norm2")
         .agg(F.sum("weight").alias("dot"))
-        .withColumn("score", cosine(F.col("dot"), F.col("user_norm2"), F.col("set_norm2")))
         .join(seen_in_set, "user_id")
-        .withColumn("seen", F.coalesce(F.try_element_at("_seen", F.col("genre_set")), F.lit(0)))
-        .drop("_seen")
+        .withColumn("seen", F.coalesce(F.try_element_at("_seen", F.col("set_id")), F.lit(0)))
+        .withColumn("score", cosine(F.col("dot"), F.col("user_norm2"), F.col("set_norm2")))
+        .select("user_id", "set_id", "movies", "seen", "score")
     )
-    # Sets whose score is beaten by n or more unwatched movies cannot contribute.
-    better = of_user.orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (
-        scored.withColumn("_until", F.sum(F.col("movies") - F.col("seen")).over(better))
-        .withColumn("_tied", F.sum(F.col("movies") - F.col("seen")).over(Window.partitionBy("user_id", "score")))
-        .withColumn("_total", F.sum(F.col("movies") - F.col("seen")).over(of_user))
-        .withColumn("_positive", F.sum("movies").over(of_user))
+    # Every set that is left offers a movie, so a set with n better ones cannot contribute;
+    # of the few that remain, only those count whose betters offer fewer than n movies.
+    offers = F.col("movies") - F.col("seen")
+    best_first = of_user.orderBy(F.desc("score"))
+    useful = materialize(
+        scored.filter(offers > 0)
+        .withColumn("_rank", F.rank().over(best_first))
+        .filter(F.col("_rank") <= n)
+        .withColumn("_until", F.sum(offers).over(best_first.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+        .withColumn("_tied", F.sum(offers).over(Window.partitionBy("user_id", "score")))
+        .filter(F.col("_until") - F.col("_tied") < n)
     )
-    useful = materialize(ranked.filter(F.col("_until") - F.col("_tied") < n))
     expanded = useful.select(
-        "user_id",
-        "genre_set",
-        "score",
-        F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(n) + F.col("seen"), F.col("movies")))).alias("place"),
-    ).join(placed.select("genre_set", "place", "movie_id"), ["genre_set", "place"])
-    best = unwatched(expanded.select("user_id", "movie_id", "score"), watched)
-
-    # Users short of n: the first movies by id outside their scored sets.
-    short = useful.filter(F.col("_total") < n).select("user_id", "_total", "_positive").distinct()
-    reach = short.select(
-        "user_id",
-        F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n) - F.col("_total") + F.col("_positive"))).alias("overall"),
-    )
+        "user_id", "set_id", "score", F.explode(F.expr(f"sequence(1L, least({n} + seen, movies))")).alias("place")
+    ).join(placed.select("set_id", "place", "movie_id"), ["set_id", "place"])
+    best = expanded.select("user_id", "movie_id", "score")
+
+    # Users short of n, all of whose sets are still here: the first movies by id outside them.
+    offered = useful.groupBy("user_id").agg(F.sum(offers).alias("_offers"), F.sum("movies").alias("_movies"))
+    totals = seen_in_set.select("user_id", "_watched").join(offered, "user_id", "left").fillna(0, ["_offers", "_movies"])
+    reach = F.expr(f"sequence(1L, {n} - _offers + _movies + _watched)")
     fill = (
-        reach.join(placed.select("overall", "movie_id", "genre_set"), "overall")
-        .join(useful.filter(F.col("_total") < n).select("user_id", "genre_set"), ["user_id", "genre_set"], "left_anti")
+        totals.filter(F.col("_offers") < n)
+        .select("user_id", F.explode(reach).alias("overall"))
+        .join(placed.select("overall", "movie_id", "set_id"), "overall")
+        .join(useful.select("user_id", "set_id"), ["user_id", "set_id"], "left_anti")
         .select("user_id", "movie_id", F.lit(0.0).alias("score"))
     )
-    order = of_user.orderBy(F.desc("score"), "movie_id")
     return (
-        best.unionByName(fill)
-        .withColumn("place", F.row_number().over(order))
+        unwatched(best.unionByName(fill), watched)
+        .withColumn("place", F.row_number().over(of_user.orderBy(F.desc("score"), "movie_id")))
         .filter(F.col("place") <= n)
     )
 

@@ -161,7 +161,8 @@ def conflicts(candidates: DataFrame, shows: DataFrame, rows_per_chunk: int = ROW
     )
     points = both.select("*", point.alias("_p")).select("*", "_p.at", "_p.kind").drop("_p")
     points = points.withColumn("_t", micros("at"))
-    hot = hot_keys(points, "hall_id", F.col("_t"), rows_per_chunk)
+    sizes = shows.select("hall_id", "start_time").unionByName(candidates.select("hall_id", "start_time"))
+    hot = hot_keys(sizes, "hall_id", micros("start_time"), rows_per_chunk)
     by = ["hall_id"]
     if hot is not None:
         points, by = chunked(points, "hall_id", F.col("_t"), hot), ["hall_id", "_chunk"]

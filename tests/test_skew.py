@@ -198,6 +198,8 @@ def test_recommendations_do_not_depend_on_chunks(spark):
     genres = {m: set(rng.sample(names, rng.choice([1, 1, 2, 3]))) if m < 60 else {"a", "b"} for m in range(120)}
     watched = {(u, m): rng.choice([1, 1, 2]) for u in range(12) for m in rng.sample(range(120), 3)}
     watched |= {(99, m): 1 for m in range(118)}  # has seen almost everything
+    genres |= {m: {"z"} for m in (200, 201)}
+    watched |= {(98, m): 1 for m in (200, 201)}  # has seen all that shares a genre
     got = M.recommend(
         spark.createDataFrame([(str(u), m, n) for (u, m), n in watched.items()], "user_id string, movie_id long, n long"),
         spark.createDataFrame([(m, g) for m, gs in genres.items() for g in gs], "movie_id long, genre string"),
