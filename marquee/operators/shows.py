@@ -53,7 +53,7 @@ def seat_list(show_seats: DataFrame, seats: DataFrame) -> DataFrame:
 def seat_map(show_seats: DataFrame) -> DataFrame:
     """Per show and row the seats in column order; no longer than the hall is wide."""
     return show_seats.groupBy("show_id", "row_index").agg(
-        F.array_sort(F.collect_list(F.struct("col_index", "status"))).alias("seats")
+        F.sort_array(F.collect_list(F.struct("col_index", "status"))).alias("seats")
     )
 
 

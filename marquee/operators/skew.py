@@ -26,43 +26,66 @@ def micros(ts: Column | str) -> Column:
 
 def hot_keys(
     df: DataFrame, key: str, pos: Column, rows_per_chunk: int = ROWS_PER_CHUNK, source: DataFrame | None = None
-) -> DataFrame | None:
-    """Keys above `rows_per_chunk` rows with the start and width of their chunks.
-
-    `pos` is the whole-number position that leads the window order.  The count
-    is combined map-side, the result never exceeds MAX_HOT_KEYS rows, and None
-    means that no key needs splitting.  `source` may name a stored table of at
-    least as many rows: its row count, read from file footers, may settle it.
+) -> list[DataFrame] | None:
+    """How to cut the keys of more than `rows_per_chunk` rows; None if there are none.
+
+    `pos` is the whole-number position that leads the window order.  The first
+    table cuts the span of each such key, of which it holds at most
+    MAX_HOT_KEYS, into pieces of equal width; further tables cut the pieces
+    again that turn out too large, as where a key comes in bursts.  All counts
+    are combined map-side.  `source` may name a stored table of at least as many
+    rows: its row count, read from file footers, may settle it.
     """
     if source is not None and source.count() <= rows_per_chunk:
         return None
-    hot = materialize(
+
+    def narrower(width: Column) -> Column:
+        return F.greatest(F.lit(1).cast("long"), F.ceil(width / F.ceil(F.col("_n") / F.lit(rows_per_chunk))))
+
+    count = F.count(F.lit(1)).alias("_n")
+    largest = (
         df.filter(F.col(key).isNotNull())
         .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(pos).alias("_lo"), F.max(pos).alias("_hi"))
+        .agg(count, F.min(pos).alias("_chunk"), F.max(pos).alias("_hi"))
         .filter(F.col("_n") > rows_per_chunk)
         .orderBy(F.desc("_n"))
         .limit(MAX_HOT_KEYS)
-        .select(
-            key,
-            "_lo",
-            F.greatest(
-                F.lit(1).cast("long"),
-                F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.ceil(F.col("_n") / F.lit(rows_per_chunk))),
-            ).alias("_width"),
-        )
     )
-    return None if hot.isEmpty() else hot
+    cuts = [materialize(largest.select(key, "_chunk", narrower(F.col("_hi") - F.col("_chunk") + 1).alias("_width")))]
+    if cuts[0].isEmpty():
+        return None
+    only_hot = df.select(key, pos.alias("_at")).join(F.broadcast(cuts[0].select(key)), key, "left_semi")
+    while True:
+        sizes = _cut(only_hot, key, F.col("_at"), cuts).groupBy(key, "_chunk", "_width").agg(count)
+        large = sizes.filter((F.col("_n") > 2 * rows_per_chunk) & (F.col("_width") > 1))
+        again = materialize(large.select(key, "_chunk", narrower(F.col("_width")).alias("_width")))
+        if again.isEmpty():
+            return cuts
+        cuts.append(again)
+
+
+def _cut(df: DataFrame, key: str, pos: Column, cuts: list[DataFrame]) -> DataFrame:
+    """Add `_chunk`, the position at which the row's chunk starts, and its `_width`; null for ordinary keys."""
+    start = F.col("_chunk") + F.expr("((_pos - _chunk) div _width) * _width")
+    rows = df.withColumn("_pos", pos).join(F.broadcast(cuts[0]), key, "left").withColumn("_chunk", start)
+    for cut in cuts[1:]:
+        rows = (
+            rows.withColumnRenamed("_width", "_w")
+            .join(cut, [key, "_chunk"], "left")
+            .withColumn("_chunk", F.coalesce(start, F.col("_chunk")))
+            .withColumn("_width", F.coalesce("_width", "_w"))
+            .drop("_w")
+        )
+    return rows.drop("_pos")
 
 
-def chunked(df: DataFrame, key: str, pos: Column, hot: DataFrame) -> DataFrame:
-    """Add `_chunk`, rising with `pos` inside hot keys, and `_is_hot`."""
+def chunked(df: DataFrame, key: str, pos: Column, hot: list[DataFrame]) -> DataFrame:
+    """Add `_chunk`, rising with `pos` inside hot keys and 0 elsewhere, and `_is_hot`."""
     return (
-        df.withColumn("_pos", pos)
-        .join(F.broadcast(hot), key, "left")
-        .withColumn("_is_hot", F.col("_lo").isNotNull())
-        .withColumn("_chunk", F.coalesce(F.expr("(_pos - _lo) div _width"), F.lit(0).cast("long")))
-        .drop("_pos", "_lo", "_width")
+        _cut(df, key, pos, hot)
+        .withColumn("_is_hot", F.col("_chunk").isNotNull())
+        .withColumn("_chunk", F.coalesce("_chunk", F.lit(0).cast("long")))
+        .drop("_width")
     )
 
 
@@ -97,7 +120,7 @@ def rank_within(
     )
 
 
-def with_lookback(df: DataFrame, key: str, pos: Column, order: Sequence[str], k: int, hot: DataFrame) -> DataFrame:
+def with_lookback(df: DataFrame, key: str, pos: Column, order: Sequence[str], k: int, hot: list[DataFrame]) -> DataFrame:
     """Rows plus, for each hot chunk, copies of the k rows of its key before it.
 
     The copies carry `_halo = true`; compute windows over (key, _chunk) and drop

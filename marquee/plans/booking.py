@@ -7,6 +7,7 @@ from marquee.functions.business import show_time_text
 from marquee.operators import bookings as B
 from marquee.plans.oracle import with_views
 from marquee.plans.registry import plan
+from marquee.session import materialize
 from marquee.sources.testdata import Views
 
 AS_OF = "2001-08-02 00:00:00"  # after the last of the given pending bookings
@@ -157,7 +158,8 @@ def _payable(v: Views) -> DataFrame:
     ),
 )
 def _checked(v: Views) -> DataFrame:
-    checked = B.check_requests(v.booking_requests, v.users, v.shows, v.show_seats)
+    requests = materialize(v.booking_requests)  # derived here; requests proper are a stored table
+    checked = B.check_requests(requests, v.users, v.shows, v.show_seats)
     return checked.select("request_id", "user_id", "show_id", "accepted", "reason")
 
 

@@ -101,9 +101,8 @@ def _inventory(v: Views) -> DataFrame:
 def _seat_list(v: Views) -> DataFrame:
     seat = F.concat_ws(" ", "seat_name", "seat_type", "status", F.col("price").cast("int").cast("string"))
     rows = S.seat_list(v.show_seats, S.hall_seats(v.halls))
-    return rows.groupBy("show_id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seat_name", seat.alias("t")))), lambda s: s["t"]), ",").alias("seats")
-    )
+    # Every seat name is followed by a blank, so the texts sort as the names do.
+    return rows.groupBy("show_id").agg(F.array_join(F.sort_array(F.collect_list(seat)), ",").alias("seats"))
 
 
 @plan(
@@ -115,11 +114,9 @@ def _seat_list(v: Views) -> DataFrame:
     ),
 )
 def _seat_map(v: Views) -> DataFrame:
-    return S.seat_map(v.show_seats).select(
-        "show_id",
-        "row_index",
-        F.array_join(F.transform("seats", lambda s: F.concat(s["col_index"].cast("string"), F.lit(":"), s["status"])), " ").alias("seats"),
-    )
+    numbered = F.concat(F.col("col_index").cast("string"), F.lit(":"), "status")
+    seats = S.seat_map(v.show_seats.withColumn("status", numbered))
+    return seats.select("show_id", "row_index", F.array_join("seats.status", " ").alias("seats"))
 
 
 @plan(

@@ -13,7 +13,7 @@ from marquee.operators import catalog as C
 from marquee.operators import recommend as M
 from marquee.operators import shows as S
 from marquee.operators.anchored import anchored_windows
-from marquee.operators.skew import hot_keys, micros, rank_within
+from marquee.operators.skew import chunked, hot_keys, micros, rank_within
 
 START = dt.datetime(2024, 1, 1)
 EVENTS = (
@@ -75,11 +75,24 @@ def test_anchored_windows_across_small_batches(spark):
 
 def test_hot_keys_are_few_and_found(spark):
     df = spark.createDataFrame(skewed_times(3, 300, 5), "key string, t long")
-    assert [r.key for r in hot_keys(df, "key", F.col("t"), 100).collect()] == ["hot"]
+    assert [r.key for r in hot_keys(df, "key", F.col("t"), 100)[0].collect()] == ["hot"]
     assert hot_keys(df, "key", F.col("t"), 10_000) is None
     assert hot_keys(df, "key", F.col("t"), 100, source=df.limit(50)) is None
 
 
+def test_bursts_are_cut_again(spark):
+    times = [*range(900), *(1_000_000 + 997 * i for i in range(60)), *(5_000_000 for _ in range(80))]
+    df = spark.createDataFrame([("hot", t) for t in times] + [("k", 1)], "key string, t long")
+    hot = hot_keys(df, "key", F.col("t"), 50)
+    assert len(hot) > 1
+    rows = chunked(df, "key", F.col("t"), hot)
+    sizes = {r._chunk: (r.n, r.lo) for r in rows.filter("_is_hot").groupBy("_chunk").agg(F.count("*").alias("n"), F.min("t").alias("lo")).collect()}
+    assert sum(n for n, _ in sizes.values()) == len(times)
+    assert max(n for n, lo in sizes.values() if lo < 5_000_000) <= 100
+    assert [lo for _, (_, lo) in sorted(sizes.items())] == sorted(lo for _, lo in sizes.values())
+    assert [(r._chunk, r._is_hot) for r in rows.filter("key = 'k'").collect()] == [(0, False)]
+
+
 def test_rank_within(spark):
     rows = [(k, t, i) for i, (k, t) in enumerate(skewed_times(6, 400, 5))]
     df = spark.createDataFrame(rows, "key string, t long, id long")
