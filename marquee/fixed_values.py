@@ -56,6 +56,8 @@ UNKNOWN_STATUS = "Not found status "
 BAD_DATE = "Invaild date format, it must be dd/MM/yyyy HH:mm"
 HALL_NOT_FOUND = "Hall is not found"
 MOVIE_NOT_FOUND = "Movie is not found"
+SHOW_MISSING = "Show not found"
+SHOW_CONFLICT = "Conflict start/end time with another show"
 SEAT_MISSING = "Seat not found"
 BAD_SEAT_TYPE = "Invalid seat type. It must be REGULAR or PREMIUM"
 BAD_SEAT_STATUS = "Status is not found. It must be AVAILABLE or UNAVAILABLE"
@@ -64,6 +66,10 @@ BAD_RATING = "Rating number must be in range 0 and 5"
 HALL_EXISTS = "This hall is existed"
 HALL_TOO_SMALL = "Row/Column number must be greater than 5"
 
+# What a payment event says where it was published after the gateway's answer.
+EVENT_ADDRESS = "VNPay-Callback"
+EVENT_LOCATION = "VN"
+
 # Notification wording.
 MAIL_SUBJECT = "Ticket: Payment Information"
 MAIL_BODY = (

@@ -24,10 +24,10 @@ def event_feed(payments: DataFrame, bookings: DataFrame, shows: DataFrame, devic
         F.col("user_id").alias("userId"),
         F.col("movie_id").cast("string").alias("movieId"),
         "amount",
-        (F.lit("VNPay-Callback") if device_ip is None else device_ip).alias("deviceIp"),
+        (F.lit(V.EVENT_ADDRESS) if device_ip is None else device_ip).alias("deviceIp"),
         F.col("create_at").alias("time"),
         "status",
-        F.lit("VN").alias("location"),
+        F.lit(V.EVENT_LOCATION).alias("location"),
     )
     options = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss'Z'", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ssXXX"}
     return (

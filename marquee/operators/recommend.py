@@ -52,28 +52,19 @@ def cosine(dot: Column, user_norm2: Column, movie_norm2: Column) -> Column:
     return F.when(usable, dot / (F.sqrt(user_norm2) * F.sqrt(movie_norm2))).otherwise(F.lit(0.0))
 
 
-def _norms(vectors: DataFrame, key: str, name: str) -> DataFrame:
-    return vectors.groupBy(key).agg(F.sum(F.col("weight") * F.col("weight")).alias(name))
-
-
 def cosines(pairs: DataFrame, user_vectors: DataFrame, movie_vectors: DataFrame) -> DataFrame:
-    """Cosine of each given (user, movie) pair."""
-    dots = (
-        pairs.join(movie_vectors, "movie_id")
-        .join(user_vectors.withColumnRenamed("weight", "_u"), ["user_id", "genre"])
-        .groupBy("user_id", "movie_id")
+    """Cosine of each given (user, movie) pair; 0 for those that share no genre."""
+    square = F.col("weight") * F.col("weight")
+    users = user_vectors.withColumn("_un", F.sum(square).over(Window.partitionBy("user_id")))
+    movies = movie_vectors.withColumn("_mn", F.sum(square).over(Window.partitionBy("movie_id")))
+    scores = (
+        pairs.join(movies, "movie_id")
+        .join(users.withColumnRenamed("weight", "_u"), ["user_id", "genre"])
+        .groupBy("user_id", "movie_id", "_un", "_mn")
         .agg(F.sum(F.col("weight") * F.col("_u")).alias("_dot"))
+        .select("user_id", "movie_id", cosine(F.col("_dot"), F.col("_un"), F.col("_mn")).alias("cosine"))
     )
-    score = cosine(
-        F.coalesce("_dot", F.lit(0)), F.coalesce("_un", F.lit(0)), F.coalesce("_mn", F.lit(0))
-    )
-    return (
-        pairs.join(dots, ["user_id", "movie_id"], "left")
-        .join(_norms(user_vectors, "user_id", "_un"), "user_id", "left")
-        .join(_norms(movie_vectors, "movie_id", "_mn"), "movie_id", "left")
-        .withColumn("cosine", score)
-        .drop("_dot", "_un", "_mn")
-    )
+    return pairs.join(scores, ["user_id", "movie_id"], "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
 
 
 def recommend(

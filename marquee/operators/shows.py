@@ -136,7 +136,7 @@ def lookup(asked: DataFrame, shows: DataFrame) -> DataFrame:
 def conflicts(candidates: DataFrame, shows: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Candidates with the number of shows of their hall they overlap, ends included, and one of those.
 
-    A candidate never conflicts with the show of its own id.  Pairs are never
+    A row that is both candidate and show does not meet itself.  Pairs are never
     formed: with starts and ends of a hall in order of time, the shows that meet
     [s, e] are those that start by e less those that end before s, and running
     totals give both.  The conflicting show named is the earlier one that ends
@@ -273,6 +273,49 @@ def schedule(
     )
 
 
+def update_shows(
+    shows: DataFrame, updates: DataFrame, halls: DataFrame, movies: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK
+) -> DataFrame:
+    """Updates of shows with what the show becomes, or a reason; `resets_seats` where its hall changes.
+
+    A start that cannot be read or does not change keeps the times.  A new start
+    must not conflict with another show of the hall as scheduled now.
+    """
+    old = shows.select("show_id", *[F.col(c).alias(f"old_{c}") for c in ("hall_id", "movie_id", "start_time", "end_time")])
+    known = (
+        updates.join(old, "show_id", "left")
+        .join(halls.select("hall_id", F.lit(True).alias("_hall")), "hall_id", "left")
+        .join(movies.select("movie_id", "duration_mins"), "movie_id", "left")
+        .withColumn("start_time", F.coalesce(parse_request_time(F.col("start_text")), "old_start_time"))
+        .withColumn("_moved", F.col("start_time") != F.col("old_start_time"))
+        .withColumn(
+            "end_time",
+            F.when(F.col("_moved"), show_end(F.col("start_time"), F.col("duration_mins"))).otherwise(F.col("old_end_time")),
+        )
+        .withColumn(
+            "reason",
+            F.when(F.col("old_start_time").isNull(), V.SHOW_MISSING)
+            .when(F.col("_hall").isNull(), V.HALL_NOT_FOUND)
+            .when(F.col("duration_mins").isNull(), V.MOVIE_NOT_FOUND),
+        )
+    )
+    moved = known.filter("reason IS NULL AND _moved").withColumn("show_id", F.concat(F.lit("new:"), "show_id"))
+    timed = ["show_id", "hall_id", "start_time", "end_time"]
+    met = conflicts(moved, shows, rows_per_chunk).withColumn("show_id", F.expr("substring(show_id, 5)"))
+    own = (
+        (F.col("hall_id") == F.col("old_hall_id"))
+        & (F.col("start_time") <= F.col("old_end_time"))
+        & (F.col("end_time") >= F.col("old_start_time"))
+    )
+    others = F.coalesce("n_conflicts", F.lit(0)) - F.when(F.col("_moved") & own, 1).otherwise(0)
+    return (
+        known.join(met.select(*timed, "n_conflicts"), timed, "left")
+        .withColumn("reason", F.coalesce("reason", F.when(others > 0, V.SHOW_CONFLICT)))
+        .withColumn("resets_seats", F.col("reason").isNull() & (F.col("hall_id") != F.col("old_hall_id")))
+        .select("show_id", "hall_id", "movie_id", "start_time", "end_time", "resets_seats", "reason")
+    )
+
+
 def without_halls(show_seats: DataFrame, halls: DataFrame) -> DataFrame:
     """Show seats less those whose seat belongs to one of `halls`."""
     return show_seats.join(halls.select("hall_id"), "hall_id", "left_anti")

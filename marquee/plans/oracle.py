@@ -110,6 +110,15 @@ _VIEWS: dict[str, tuple[str, list[str]]] = {
                  FROM shows)""",
         ["shows"],
     ),
+    "show_updates": (
+        """SELECT CASE WHEN movie_id % 29 = 0 THEN 'no-' ELSE '' END || show_id AS show_id,
+                  CASE WHEN movie_id % 23 = 0 THEN -1 WHEN movie_id % 5 <> 0 THEN hall_id
+                       WHEN hall_id = 0 THEN 1 ELSE hall_id - 1 END AS hall_id,
+                  CASE WHEN movie_id % 31 = 0 THEN -1 ELSE movie_id END AS movie_id,
+                  CASE WHEN movie_id % 17 <> 0 THEN start_time + to_minutes(
+                    CASE movie_id % 3 WHEN 0 THEN 45 WHEN 1 THEN 1440 ELSE 0 END) END AS asked_start FROM shows""",
+        ["shows"],
+    ),
     "show_seats": (
         """SELECT show_id || '#' || CAST(row_index AS VARCHAR) || '.' || CAST(col_index AS VARCHAR) AS seat_id,
                   show_id, hall_id, row_index, col_index, seat_type, price, seat_name,

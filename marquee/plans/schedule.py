@@ -205,6 +205,32 @@ def _schedule(v: Views) -> DataFrame:
     return S.schedule(v.show_requests, v.halls, v.movies, v.shows).drop("start_text")
 
 
+@plan(
+    "show_updates",
+    with_views(
+        """SELECT show_id, hall_id, movie_id, start_time, end_time, full_reason AS reason,
+             full_reason IS NULL AND hall_id <> old_hall AS resets_seats
+           FROM (SELECT t.*, coalesce(t.reason, CASE WHEN t.moved AND EXISTS (SELECT 1 FROM shows s
+                   WHERE s.hall_id = t.hall_id AND s.show_id <> t.show_id AND s.start_time <= t.end_time
+                   AND s.end_time >= t.start_time) THEN 'Conflict start/end time with another show' END) AS full_reason
+                 FROM timed t)""",
+        "show_updates",
+        "halls",
+        "movies",
+        timed="""SELECT u.show_id, u.hall_id, u.movie_id, s.hall_id AS old_hall,
+            coalesce(asked_start, s.start_time) AS start_time, asked_start <> s.start_time AS moved,
+            CASE WHEN asked_start <> s.start_time THEN asked_start + to_minutes(m.duration_mins + 10)
+                 ELSE s.end_time END AS end_time,
+            CASE WHEN s.show_id IS NULL THEN 'Show not found' WHEN h.hall_id IS NULL THEN 'Hall is not found'
+                 WHEN m.movie_id IS NULL THEN 'Movie is not found' END AS reason
+            FROM show_updates u LEFT JOIN shows s USING (show_id) LEFT JOIN halls h ON h.hall_id = u.hall_id
+            LEFT JOIN movies m ON m.movie_id = u.movie_id""",
+    ),
+)
+def _updates(v: Views) -> DataFrame:
+    return S.update_shows(v.shows, v.show_updates, v.halls, v.movies)
+
+
 @plan(
     "show_seats_without_hall",
     with_views(

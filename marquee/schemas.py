@@ -43,3 +43,9 @@ PAYMENT_EVENT = (
 )
 
 LOGIN_ATTEMPT = "attempt_id string, login_key string, ts timestamp"
+
+SCHEMAS["payment_events"] = PAYMENT_EVENT
+SCHEMAS["login_attempts"] = LOGIN_ATTEMPT
+SCHEMAS["gateway_responses"] = (
+    "txn_ref string, response_code string, amount_minor long, txn_type string, txn_status string"
+)

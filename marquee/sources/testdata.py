@@ -174,6 +174,18 @@ class Views:
             .alias("start_text"),
         )
 
+    @cached_property
+    def show_updates(self) -> DataFrame:
+        """Every show moved, in time, hall or neither; some updates name what does not exist."""
+        m, h = F.col("movie_id"), F.col("hall_id")
+        moved = F.col("start_time") + minutes(F.when(m % 3 == 0, 45).when(m % 3 == 1, 1440).otherwise(0))
+        return self.shows.select(
+            F.when(m % 29 == 0, F.concat(F.lit("no-"), "show_id")).otherwise(F.col("show_id")).alias("show_id"),
+            F.when(m % 23 == 0, -1).when(m % 5 == 0, F.when(h == 0, 1).otherwise(h - 1)).otherwise(h).alias("hall_id"),
+            F.when(m % 31 == 0, -1).otherwise(m).alias("movie_id"),
+            F.when(m % 17 == 0, "x").otherwise(F.date_format(moved, "dd/MM/yyyy HH:mm")).alias("start_text"),
+        )
+
     @cached_property
     def show_deletes(self) -> DataFrame:
         by_id = F.col("start_time") < F.expr("timestamp_ntz'1997-01-01 00:00:00'")

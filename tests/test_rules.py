@@ -154,6 +154,26 @@ def test_show_conflicts(spark):
     assert S.conflicts(old, old).filter("n_conflicts > 0").count() == 0
 
 
+def test_show_updates(spark):
+    at = lambda m: (START + dt.timedelta(minutes=m)).strftime("%d/%m/%Y %H:%M")
+    old = shows(spark, ("a", 0, 70), ("b", 100, 170)).withColumn("movie_id", F.lit(1).cast("long"))
+    halls = spark.createDataFrame([("h",), ("g",)], "hall_id string")
+    movies = spark.createDataFrame([(1, 60)], "movie_id long, duration_mins int")
+    asked = [("a", "h", 1, at(10)), ("b", "h", 1, at(60)), ("c", "h", 1, at(0)), ("a", "q", 1, at(0)), ("b", "h", 9, at(0)), ("b", "g", 1, "x")]
+    updates = spark.createDataFrame(asked, "show_id string, hall_id string, movie_id long, start_text string")
+    got = {(r.show_id, r.hall_id, r.movie_id): (r.reason, r.resets_seats) for r in S.update_shows(old, updates.filter("start_text = '%s'" % at(10)), halls, movies).collect()}
+    assert got == {("a", "h", 1): (None, False)}  # overlaps only its own old time
+    got = S.update_shows(old, updates, halls, movies).collect()
+    assert sorted((r.show_id, r.hall_id, r.reason, r.resets_seats) for r in got if r.reason) == [
+        ("a", "q", "Hall is not found", False),
+        ("b", "h", "Conflict start/end time with another show", False),
+        ("b", "h", "Movie is not found", False),
+        ("c", "h", "Show not found", False),
+    ]
+    moved = next(r for r in got if r.hall_id == "g")
+    assert moved.resets_seats and moved.start_time == START + dt.timedelta(minutes=100)
+
+
 BOOKINGS = "booking_id string, user_id string, show_id string, status string, create_at timestamp_ntz"
 PAYMENTS = "payment_id string, booking_id string, amount double, status string, txn_ref string, create_at timestamp_ntz"
 
