@@ -17,11 +17,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marquee.operators.skew import ROWS_PER_CHUNK, chunked, hot_keys, micros
+from marquee.operators.skew import ROWS_PER_CHUNK, chunk_carry, chunked, hot_keys, micros
 from marquee.session import materialize
 
 
@@ -43,16 +43,24 @@ def anchored_windows(
     keyed = df.filter(F.col(key).isNotNull())
     hot = hot_keys(keyed, key, micros(ts), rows_per_chunk, source)
     if hot is None:
-        rows = keyed.withColumn("_chunk", F.lit(0).cast("long"))
-        rows = rows.withColumn("_t", micros(ts)).withColumn("_seen", F.lit(None).cast("long"))
-    else:
-        rows = materialize(chunked(keyed, key, micros(ts), hot).withColumn("_t", micros(ts)))
-        entering = _entering(rows.filter("_is_hot"), key, length_us)
-        rows = rows.drop("_is_hot").withColumn("_seen", F.lit(None).cast("long"))
+        rows = keyed.withColumn("_chunk", F.lit(0).cast("long")).withColumn("_t", micros(ts))
+        return _number(rows, key, length_us, position, tie)
+    rows = materialize(chunked(keyed, key, micros(ts), hot).withColumn("_t", micros(ts)))
+    times = rows.filter("_is_hot").select(key, "_chunk", "_t", "_is_hot")
+    entering = _entering(times, key, length_us, hot, rows_per_chunk)
+    return _number(rows.drop("_is_hot"), key, length_us, position, tie, entering)
+
+
+def _number(
+    rows: DataFrame, key: str, length: int, position: str, tie: str, entering: DataFrame | None = None
+) -> DataFrame:
+    """Rows with their position; `entering` holds the window open at the start of a chunk and the rows it took."""
+    rows = rows.withColumn("_seen", F.lit(None).cast("long"))
+    if entering is not None:
         rows = rows.unionByName(entering, allowMissingColumns=True)
     schema = T.StructType([*rows.schema.fields, T.StructField(position, T.LongType())])
     ordered = rows.repartition(key, "_chunk").sortWithinPartitions(key, "_chunk", "_t", tie)
-    numbered = ordered.mapInArrow(_numbering(key, length_us, position), schema)
+    numbered = ordered.mapInArrow(_numbering(key, length, position), schema)
     return numbered.filter(F.col("_seen").isNull()).drop("_chunk", "_t", "_seen")
 
 
@@ -102,17 +110,96 @@ def _positions(t: np.ndarray, starts: np.ndarray, seen: np.ndarray, length: int)
     return opener, np.arange(len(t)) - opener + seen[opener]
 
 
-def _entering(rows: DataFrame, key: str, length: int) -> DataFrame:
-    """The window that is open when each chunk of a hot key begins.
+def _entering(times: DataFrame, key: str, length: int, hot: list[DataFrame], rows_per_chunk: int) -> DataFrame:
+    """Per chunk of a hot key the window that is open when it begins: its start, and the rows it took so far."""
+    openers = materialize(_openers(times, key, length, rows_per_chunk))
+    chunks = times.groupBy(key, "_chunk").agg(F.min("_t").alias("_t"), F.count(F.lit(1)).alias("_n"))
+    in_time = Window.partitionBy(key).orderBy("_t", F.col("_chunk").isNotNull().desc())
+    before = in_time.rowsBetween(Window.unboundedPreceding, -1)
+    # One row per chunk and per window, not per row: the last opener before each chunk.
+    entered = (
+        chunks.unionByName(openers.select(key, "_t").withColumn("_open", F.col("_t")), allowMissingColumns=True)
+        .withColumn("_opened", F.max("_open").over(before))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .filter(F.col("_chunk").isNotNull())
+        .select(key, "_chunk", "_opened", "_before")
+    )
+    # Rows of the key ahead of that opener: those before its chunk, and those ahead of it inside.
+    last = chunked(entered.select(key, "_opened").filter("_opened IS NOT NULL").distinct(), key, F.col("_opened"), hot)
+    inside = (
+        times.join(last.select(key, "_chunk", "_opened"), [key, "_chunk"])
+        .groupBy(key, "_chunk", "_opened")
+        .agg(F.count_if(F.col("_t") < F.col("_opened")).alias("_inside"))
+    )
+    ahead = inside.join(entered.select(key, "_chunk", "_before"), [key, "_chunk"]).select(
+        key, "_opened", (F.col("_before") + F.col("_inside")).alias("_ahead")
+    )
+    return entered.join(ahead, [key, "_opened"]).select(
+        key, "_chunk", F.col("_opened").alias("_t"), (F.col("_before") - F.col("_ahead")).alias("_seen")
+    )
+
+
+def _openers(times: DataFrame, key: str, length: int, rows_per_chunk: int) -> DataFrame:
+    """(key, _t) of every row of a hot key that opens a window; of equal times one."""
+    candidates = materialize(_candidates(times, key, length))
+    cuts = hot_keys(candidates, key, F.col("_t"), rows_per_chunk)
+    if cuts is None:
+        rows, entering = candidates.withColumn("_chunk", F.lit(0).cast("long")), None
+    else:
+        rows = chunked(candidates, key, F.col("_t"), cuts)
+        entering = _chained(rows.filter("_is_hot"), key, length)
+        rows = rows.drop("_is_hot")
+    rows = rows.withColumn("_own", F.col("_t"))
+    return _number(rows, key, length, "_nth", "_own", entering).filter("_nth = 1").select(key, F.col("_own").alias("_t"))
+
+
+def _candidates(times: DataFrame, key: str, length: int) -> DataFrame:
+    """Distinct (key, _t) that may open a window: all that do, and few more where rows are dense.
+
+    A row after a pause of `length` opens a window for certain; count cells of
+    `length` from there.  Each further opener comes later in its cell than the
+    one before did in its own, by less than the pause right before it.  So in
+    any cell it lies no deeper than the longest pauses of the cells so far add
+    up to, which is little where rows are dense.
+    """
+    times = times.select(key, "_chunk", "_t", "_is_hot").distinct()
+    order = Window.partitionBy(key, "_chunk").orderBy("_t")
+    last = chunk_carry(times, key, {"_last": (F.max("_t"), F.max)})
+    pause = F.col("_t") - F.coalesce(F.lag("_t").over(order), F.col("_last"))
+    paused = materialize(
+        times.join(last, [key, "_chunk"], "left")
+        .withColumn("_pause", pause)
+        .withColumn("_start", F.when(F.col("_pause").isNull() | (F.col("_pause") >= length), F.col("_t")))
+        .drop("_last")
+    )
+    started = chunk_carry(paused, key, {"_since": (F.max("_start"), F.max)})
+    since = F.coalesce(F.max("_start").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.col("_since"))
+    placed = (
+        paused.join(started, [key, "_chunk"], "left")
+        .withColumn("_since", since)
+        .withColumn("_cell", F.expr(f"(_t - _since) div {length}"))
+        .withColumn("_depth", F.expr(f"(_t - _since) % {length}"))
+    )
+    so_far = Window.partitionBy(key, "_since").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    limits = (
+        placed.groupBy(key, "_since", "_cell")
+        .agg(F.max(F.when(F.col("_cell") > 0, F.col("_pause")).otherwise(0)).alias("_longest"))
+        .withColumn("_limit", F.sum("_longest").over(so_far))
+        .drop("_longest")
+    )
+    return placed.join(limits, [key, "_since", "_cell"]).filter(F.col("_depth") <= F.col("_limit")).select(key, "_t")
+
+
+def _chained(rows: DataFrame, key: str, length: int) -> DataFrame:
+    """The window that is open when each chunk of a hot key begins, `_seen` not being counted.
 
     First every chunk is reduced, in parallel, to a table "if the first window
     may open from x on, the last one opens at y"; neighbouring x with the same y
-    share a row.  Then those tables are chained along the chunks of each key.
+    share a row, and x reaches no further than one window into the chunk.  Then
+    those tables are chained along the chunks of each key.
     """
     key_field = rows.schema[key]
-    exits_schema = T.StructType(
-        [key_field, *[T.StructField(c, T.LongType()) for c in ("_chunk", "upto", "exit_t", "exit_n", "n")]]
-    )
+    exits_schema = T.StructType([key_field, *[T.StructField(c, T.LongType()) for c in ("_chunk", "upto", "exit_t")]])
     entering_schema = T.StructType([key_field, *[T.StructField(c, T.LongType()) for c in ("_chunk", "_t", "_seen")]])
 
     def exits(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -126,28 +213,23 @@ def _entering(rows: DataFrame, key: str, length: int) -> DataFrame:
         entries = min(n, following[0] + 1)
         final = np.array(final[:entries])
         ends_run = np.r_[final[1:] != final[:-1], True]
-        final = final[ends_run]
         return pd.DataFrame(
             {
                 key: pdf[key].iloc[0],
                 "_chunk": pdf["_chunk"].iloc[0],
                 "upto": t[:entries][ends_run],
-                "exit_t": t[final],
-                "exit_n": n - final,
-                "n": n,
+                "exit_t": t[final[ends_run]],
             }
         )
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, opened, count = [], None, 0
+        out, opened = [], None
         for chunk, runs in pdf.sort_values(["_chunk", "upto"]).groupby("_chunk", sort=True):
             if opened is not None:
-                out.append((pdf[key].iloc[0], chunk, opened, count))
+                out.append((pdf[key].iloc[0], chunk, opened, 1))
             run = 0 if opened is None else int(np.searchsorted(runs["upto"].to_numpy(), opened + length))
             if run < len(runs):
-                opened, count = int(runs["exit_t"].iloc[run]), int(runs["exit_n"].iloc[run])
-            else:
-                count += int(runs["n"].iloc[0])
+                opened = int(runs["exit_t"].iloc[run])
         return pd.DataFrame(out, columns=[key, "_chunk", "_t", "_seen"])
 
     reduced = rows.select(key, "_chunk", "_t").groupBy(key, "_chunk").applyInPandas(exits, exits_schema)

@@ -12,7 +12,7 @@ from marquee.operators import anomaly as A
 from marquee.operators import catalog as C
 from marquee.operators import recommend as M
 from marquee.operators import shows as S
-from marquee.operators.anchored import anchored_windows
+from marquee.operators.anchored import _candidates, _openers, anchored_windows
 from marquee.operators.skew import chunked, hot_keys, micros, rank_within
 
 START = dt.datetime(2024, 1, 1)
@@ -73,6 +73,22 @@ def test_anchored_windows_across_small_batches(spark):
         spark.conf.set(name, before)
 
 
+def test_dense_keys_leave_few_candidates(spark):
+    rng = random.Random(5)
+    seconds = sorted(rng.randrange(20_000) for _ in range(6_000)) + [90_000 + i for i in range(300)]
+    times = spark.createDataFrame([("hot", s) for s in seconds], "key string, _t long")
+    cuts = hot_keys(times, "key", F.col("_t"), 200)
+    left = {r._t for r in _candidates(chunked(times, "key", F.col("_t"), cuts), "key", 1_000).collect()}
+    openers, opened = set(), None
+    for s in seconds:
+        if opened is None or s >= opened + 1_000:
+            opened = s
+            openers.add(s)
+    assert openers <= left and len(left) < 1_500
+    got = _openers(chunked(times, "key", F.col("_t"), cuts), "key", 1_000, 100)
+    assert sorted(r._t for r in got.collect()) == sorted(openers)
+
+
 def test_hot_keys_are_few_and_found(spark):
     df = spark.createDataFrame(skewed_times(3, 300, 5), "key string, t long")
     assert [r.key for r in hot_keys(df, "key", F.col("t"), 100)[0].collect()] == ["hot"]
