@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from marquee.plans.all import ORACLES, PLANS
+from marquee.session import tune
+from marquee.sources.testdata import Views
 from tools.check_oracle import compare, duck
 
-QUERIES = queries()
-ORACLES = oracle_sql()
+QUERIES = {name: lambda spark, folder, fn=fn: fn(Views(tune(spark), folder)) for name, fn in PLANS.items()}
 
 
 @pytest.fixture(scope="module")
