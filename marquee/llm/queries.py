@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import exact_dedup, line_dedup, mixing, shards
+from marquee.llm import decontaminate, exact_dedup, line_dedup, mixing, secrets, shards
 from marquee.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,31 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(documents(spark, sf_dir))
+
+
+@query(
+    "op4_decontaminate",
+    f"""
+    WITH dw AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w
+                FROM documents),
+    bw AS (SELECT item_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w
+           FROM benchmark),
+    bs AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s
+           FROM (SELECT item_id, w, least(5, len(w)) AS k, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i
+                 FROM bw WHERE len(w) > 0)),
+    n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id),
+    ds AS (SELECT DISTINCT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS s
+           FROM (SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS i
+                 FROM dw, (SELECT DISTINCT k FROM bs) WHERE len(w) >= k)),
+    met AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (k, s) GROUP BY ALL)
+    SELECT doc_id, item_id, n_shared, n_item FROM met JOIN n USING (item_id) WHERE n_shared * 100 >= n_item * 80
+    """,
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.find_items(documents(spark, sf_dir), items).drop("text_hash")
+
+
+@query("op9_secrets")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
