@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import decontaminate, exact_dedup, language, line_dedup, mixing, pii, secrets, shards
+from marquee.llm import decontaminate, exact_dedup, jaccard, language, line_dedup, mixing, pii, secrets, shards
 from marquee.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,23 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_pii")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(documents(spark, sf_dir))
+
+
+@query(
+    "op10_jaccard_join",
+    f"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w
+                         FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+          FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (s) GROUP BY ALL),
+    links AS (SELECT a, b FROM shared JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id
+              WHERE 100 * c >= 80 * (x.n + y.n - c)),
+    reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+    SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, coalesce(min(b), w.doc_id) AS component_id
+    FROM w LEFT JOIN n USING (doc_id) LEFT JOIN reach ON a = w.doc_id GROUP BY w.doc_id
+    """,
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_classes(documents(spark, sf_dir))
