@@ -22,6 +22,10 @@ PARTS = 64
 #: A shingle is noticed in a group of sets holding GROUP shingles if it is in 1 / NOTICED of them, three at least.
 GROUP = 1 << 20
 NOTICED = 500
+#: Before all pairs that are left are formed: rounds in which a set meets about so many random others of its lists.
+PARTNERS = (8, 32, 128)
+#: Up to so many ids are broadcast to find their texts; more are joined by a shuffle.
+BROADCAST_IDS = 200_000
 
 
 def _digest(values: np.ndarray) -> bytes:
@@ -132,46 +136,53 @@ def postings(docs: DataFrame, text_column: str, frequent: np.ndarray, part: int,
     return read.mapInArrow(prefixes, "token long, sid long, n int, pos int, often boolean")
 
 
-def _may_link(percent: int) -> Column:
-    """Sizes l.n and r.n close enough, and enough shingles left from the shared one on; true at a pair's first one."""
-    n, m = F.col("l.n"), F.col("r.n")
+def _may_link(percent: int, first: bool) -> Column:
+    """Whether sizes and positions of l and r leave room for the overlap asked.
+
+    With `first` the shared shingle is taken for their first in common, as some shared one is for every pair; otherwise
+    those before it may be shared as well.
+    """
+    n, m, at, to = F.col("l.n"), F.col("r.n"), F.col("l.pos"), F.col("r.pos")
     close = F.least(n, m) * 100 >= F.greatest(n, m) * percent
-    left = F.least(n - F.col("l.pos"), m - F.col("r.pos"))
-    return close & (left * (100 + percent) >= (n + m) * percent)
+    room = F.least(n - at, m - to) + (F.lit(0) if first else F.least(at, to))
+    return close & (room * (100 + percent) >= (n + m) * percent)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_column: str, text_column: str, part: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of sets whose similarity reaches `percent`, computed on the whole sets."""
+    """The pairs (a, b) of sets whose similarity reaches `percent`, computed on the whole sets; repeats are possible."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    holders = classes.join(asked, "sid").select(F.col("holder").alias("id_")).distinct()
+    holders = stored(classes.join(asked, "sid").select(F.col("holder").alias("id_")).distinct(), "holders")
+    if holders.count() <= BROADCAST_IDS:
+        holders = F.broadcast(holders)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen = Hasher(), set()
-        for batch in batches:
-            made = {}
-            for values in hasher.sets(batch.column("t")):
-                sid = int.from_bytes(_digest(values)[8 * part : 8 * part + 8], "big", signed=True)
-                if len(values) and sid not in seen:
-                    seen.add(sid)
-                    made[sid] = values.view(np.int64)
-            if made:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(made), pa.int64()), pa.array(list(made.values()), pa.list_(pa.int64()))], names=["sid", "tokens"]
-                )
+        hasher = Hasher()
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                made = [x for x in hasher.sets(whole.slice(start, 500).column("t")) if len(x)]
+                sids = [int.from_bytes(_digest(x)[8 * part : 8 * part + 8], "big", signed=True) for x in made]
+                tokens = pa.array([x.view(np.int64) for x in made], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), tokens], names=["sid", "tokens"])
 
     read = docs.select(F.col(id_column).alias("id"), F.coalesce(text_column, F.lit("")).alias("t"))
     held = read.join(holders, F.col("id").eqNullSafe(F.col("id_")), "left_semi").select("t")
-    found = held.mapInArrow(sets, "sid long, tokens array<long>").join(asked, "sid", "left_semi")
-    found = stored(found.dropDuplicates(["sid"]), "sets")
+    found = held.mapInArrow(sets, "sid long, tokens array<long>")
     left, right = (found.select(F.col("sid").alias(c), F.col("tokens").alias(f"of_{c}")) for c in "ab")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    met = pairs.join(left, "a").join(right, "b").withColumn("shared", shared)
+    met = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("of_a", "of_b")))
     union = F.size("of_a") + F.size("of_b") - F.col("shared")
     return met.where(F.col("shared") * 100 >= union * percent).select("a", "b")
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
+def _ordered(met: DataFrame) -> DataFrame:
+    return met.select(F.least("l.sid", "r.sid").alias("a"), F.greatest("l.sid", "r.sid").alias("b")).where("a <> b").distinct()
+
+
+def _mixed_lists(index: DataFrame, roots: DataFrame) -> DataFrame:
+    """The lists of more than one component, each with its `main` one, which has most entries."""
+    placed = index.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    shares = placed.groupBy("token", "root").agg(F.count("*").alias("c"))
+    mixed = shares.groupBy("token").agg(F.count("*").alias("roots"), F.max(F.struct("c", "root")).alias("m"))
+    return placed.join(mixed.where("roots > 1").select("token", F.col("m.root").alias("main")), "token")
 
 
 def join_classes(
@@ -185,12 +196,13 @@ def join_classes(
     ids are never the smallest unless there is no other; rows repeated are in one component; an empty table gives an
     empty result; other columns are ignored. Whole texts count; shingles are compared by 64-bit hashes.
 
-    Equal sets are one node. The prefixes of all sets form an index: a list of (set, size, position) per shingle. First
-    each set is compared with the smallest set of each of its lists only. Where that succeeds the two are highly similar
-    and what the one is connected with, the other takes over; then only pairs of different components that share a list
-    are left, and lists are skipped where one component fills them. Within a list, pairs are skipped whose positions
-    leave too few shingles for the overlap asked. The component that fills most of a list is never paired with itself,
-    so large groups of near copies cost as many comparisons as members. Nothing is capped.
+    Equal sets are one node. The prefixes of all sets form an index: a list of (set, size, position) per shingle. Pairs
+    are skipped whose sizes, or positions in a list, leave too few shingles for the overlap asked. In the first rounds
+    a set is compared with a few random others of its lists only. Where two are found to be highly similar, one takes
+    over what the other is connected with; lists that one component fills are skipped, and then only pairs of different
+    components that share a list are left. The component that fills most of a list is never paired with itself, so a
+    large group of near copies costs as many comparisons as members, not as pairs. Nothing is capped: the last round
+    forms all pairs that are left.
     """
     known = stored(describe(docs, id_column, text_column), "sets")
     rows = known.where("digest is not null").select("id", "n", "digest")
@@ -209,29 +221,30 @@ def join_classes(
     index = postings(docs, text_column, often, part, percent)
     # lists of one set are dropped; those of frequent shingles are cut into parts and kept
     lists = Window.partitionBy("token", "part")
-    spread = F.when(F.col("often"), F.pmod("sid", F.lit(PARTS))).otherwise(0).cast("int")
+    spread = F.when(F.col("often"), F.pmod(F.xxhash64("sid", "token"), F.lit(PARTS))).otherwise(0).cast("int")
     index = index.withColumn("part", spread).withColumn("low", F.min("sid").over(lists)).withColumn("high", F.max("sid").over(lists))
-    index = stored(index.where("often or low < high").select("token", "sid", "n", "pos"), "index")
-
-    first = index.groupBy("token").agg(F.min(F.struct("n", "sid", "pos")).alias("f"))
-    first = first.select("token", "f.n", "f.sid", "f.pos")
-    near = index.alias("l").join(first.alias("r"), "token").where(_may_link(percent) & (F.col("l.sid") != F.col("r.sid")))
-    tried = stored(_ordered(near.select(F.col("l.sid").alias("x"), F.col("r.sid").alias("y"))), "pairs")
-    links = stored(verified(tried, docs, classes, id_column, text_column, part, percent), "links")
-    joined = stored(components(links), "components")
-
-    index = index.join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    shares = index.groupBy("token", "root").agg(F.count("*").alias("c"))
-    mixed = shares.groupBy("token").agg(F.count("*").alias("roots"), F.max(F.struct("c", "root")).alias("m"))
-    mixed = mixed.where("roots > 1").select("token", F.col("m.root").alias("main"))
-    index = stored(index.join(mixed, "token"), "mixed")
-    rest = index.where("root <> main").alias("l").join(index.alias("r"), "token")
-    rest = rest.where("l.root <> r.root and (r.root = r.main or l.sid < r.sid)").where(_may_link(percent))
-    pairs = _ordered(rest.select(F.col("l.sid").alias("x"), F.col("r.sid").alias("y"))).join(tried, ["a", "b"], "left_anti")
-    pairs = stored(pairs, "pairs")
-    more = verified(pairs, docs, classes, id_column, text_column, part, percent)
-    roots = joined.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    whole = stored(components(roots.unionByName(more)), "components")
+    index = stored(index.where("often or low < high").select("token", "part", "sid", "n", "pos"), "index")
+
+    check = lambda pairs: verified(pairs, docs, classes, id_column, text_column, part, percent)
+    roots, tried, placed = None, None, index.withColumn("root", F.col("sid"))
+    for turn, partners in enumerate(PARTNERS):
+        lists = Window.partitionBy("token", "part").orderBy(F.xxhash64(F.lit(turn), "token", "sid"), "sid")
+        mine = F.struct("sid", "n", "pos", "root")
+        met = placed.select("token", mine.alias("l"), F.lead(mine).over(lists).alias("r"))
+        few = F.pmod(F.xxhash64("token", F.lit(turn)), F.greatest(F.lit(1), F.floor(F.col("l.n") / (5 * partners)))) == 0
+        pairs = _ordered(met.where(few & F.expr("l.root <> r.root") & _may_link(percent, first=False)))
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = check(pairs)
+        if roots is not None:
+            links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = stored(components(links), "roots")
+        placed = stored(_mixed_lists(index, roots), "mixed")
+    rest = placed.where("root <> main").alias("l").join(placed.alias("r"), "token")
+    rest = rest.where("l.root <> r.root and (r.root = r.main or l.sid < r.sid)").where(_may_link(percent, first=True))
+    pairs = stored(_ordered(rest).join(tried, ["a", "b"], "left_anti"), "pairs")
+    links = check(pairs).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    whole = stored(components(links), "roots")
 
     placed = classes.join(whole.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = placed.groupBy("root").agg(F.min("holder").alias("component_id"))
