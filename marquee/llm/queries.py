@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import decontaminate, exact_dedup, jaccard, language, line_dedup, mixing, pii, secrets, shards
+from marquee.llm import decontaminate, exact_dedup, jaccard, language, line_dedup, mixing, pii, secrets, shards, warc
+from marquee.llm.common import shared_folder
 from marquee.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,3 +163,25 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_classes(documents(spark, sf_dir))
+
+
+@query(
+    "op3_warc",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+    cut AS (SELECT *, [('0x' || substr(h, 5 * i + 1, 5))::BIGINT FOR i IN range(8)] AS v FROM p),
+    named AS (
+        SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+               array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + ((v[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1) FOR i IN range(32)], '') AS payload_digest
+        FROM cut),
+    last AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS l FROM named)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN page_id = l THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> l THEN l END AS refers_to
+    FROM last
+    """,
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return warc.archive_round_trip(pages, shared_folder(pages, "warc"))
