@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from marquee.llm import mixing, shards
+from marquee.llm import decontaminate, jaccard, language, mixing, shards
 from marquee.llm.common import stored
 from marquee.session import tune
 
@@ -13,25 +12,38 @@ from marquee.session import tune
 ORACLE_SQL = None
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes most of it: 0 to 3 rows.
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no language (no text, or no letters in it) go."""
+    return language.keep_identified(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of Jaccard similarity 0.8 or more connect, the one with the smallest id stays."""
+    return jaccard.drop_near_duplicates(docs)
+
 
-    A document that the mixture takes `taken` words of, in whole passes and perhaps a part, is repeated
-    ceil(taken / size) times; one with no words stays once, as it costs the mixture nothing.
-    """
-    taken = mixing.mix(docs)[1].groupBy("doc_id", "size").agg(F.max("taken").alias("taken"))
-    copies = taken.select(
-        F.col("doc_id").alias("id"), F.when(F.col("size") == 0, 1).otherwise(F.ceil(F.col("taken") / F.col("size"))).alias("copies")
-    )
-    met = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("id")))
-    return met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mixture takes it, in whole documents: 0 to 3 times."""
+    return mixing.mixed_documents(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard and the slot of each document."""
     return shards.assign_shards(docs, shards=16)
 
 
-STAGES = [("mixing sources", mix_sources), ("sharding", shard)]
+STAGES = [
+    ("language identification", identify_language),
+    ("near duplicates", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("mixing sources", mix_sources),
+    ("sharding", shard),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

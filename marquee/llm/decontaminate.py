@@ -86,7 +86,9 @@ def find_items(
         return docs.sparkSession.createDataFrame([], schema)
     pairs = stored(pairs.distinct(), "candidates")
     wanted = pairs.groupBy("id", "t").agg(F.collect_set(F.struct("item")).alias("asked"))
-    wanted = wanted.select(F.col("id").alias("id_"), F.col("t").alias("t_"), "asked")
+    wanted = stored(wanted.select(F.col("id").alias("id_"), F.col("t").alias("t_"), "asked"), "wanted")
+    if wanted.count() <= BROADCAST_ROWS and len(sizes) and asked.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     met = read.join(wanted, F.col("id").eqNullSafe(F.col("id_")) & (F.col("t") == F.col("t_")))
     for k in sizes:
         met = met.withColumn(f"runs{k}", _texts("ws", k))
@@ -114,6 +116,7 @@ def drop_contaminated(
     """The rows of `docs`, with all their columns, that contain no item (see `find_items`)."""
     key, h = fresh(docs.columns, "id_found"), fresh(docs.columns, "text_found")
     found = find_items(docs, items, id_column, text_column, **options)
-    found = found.select(F.col(id_column).alias(key), F.col("text_hash").alias(h)).distinct()
-    same = docs[id_column].eqNullSafe(found[key]) & (F.xxhash64(docs[text_column]) == found[h])
-    return docs.join(found, same, "left_anti")
+    found = stored(found.select(F.col(id_column).alias(key), F.col("text_hash").alias(h)).distinct(), "found")
+    small = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+    same = F.col(id_column).eqNullSafe(F.col(key)) & (F.xxhash64(text_column) == F.col(h))
+    return docs.join(small, same, "left_anti")

@@ -11,19 +11,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marquee.llm.common import stored
+from marquee.llm.common import SPACES, fresh, stored
 from marquee.llm.components import components
 from marquee.llm.shingles import Hasher
 
 PERCENT = 80
-#: Frequent shingles that are put last in the order of the index, and parts that the lists of such a shingle are cut into.
-FREQUENT = 50_000
+#: Shingles in at least OFTEN of the counted places are put last in the order of the index, FREQUENT of them at most;
+#: the lists of such a shingle are cut into PARTS.
+OFTEN = 6
+FREQUENT = 200_000
 PARTS = 64
-#: A shingle is noticed in a group of sets holding GROUP shingles if it is in 1 / NOTICED of them, three at least.
-GROUP = 1 << 20
-NOTICED = 500
-#: Before all pairs that are left are formed: rounds in which a set meets about so many random others of its lists.
-PARTNERS = (8, 32, 128)
+#: Shingles of a bucket when they are counted.
+BUCKET = 250_000
+#: Rounds in which a set meets a random other of each of its lists, before all pairs that are left are formed.
+TURNS = 2
 #: Up to so many ids are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 
@@ -33,59 +34,82 @@ def _digest(values: np.ndarray) -> bytes:
 
 
 def describe(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id, n, digest) of every row's shingle set, and rows (token, count) of shingles that are frequent in some group."""
+    """(id, text_hash, n, digest) of every row's shingle set."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen = Hasher(), set()
-        schema = None
+        hasher = Hasher()
         for batch in batches:
-            ids = batch.column("id")
-            schema = schema or pa.schema(
-                [("id", ids.type), ("n", pa.int64()), ("digest", pa.binary()), ("token", pa.int64()), ("count", pa.int64())]
-            )
-            sizes, digests, group, held, tokens, counts = [], [], [], 0, [], []
-
-            def note():
-                values, times = np.unique(np.concatenate(group), return_counts=True)
-                often = times >= max(3, len(group) // NOTICED)
-                tokens.append(values[often].view(np.int64))
-                counts.append(times[often])
+            made = [(len(x), _digest(x)) for x in hasher.sets(batch.column("t"))]
+            sizes, digests = pa.array([x[0] for x in made], pa.int64()), pa.array([x[1] for x in made], pa.binary())
+            kept = [batch.column("id"), batch.column("text_hash")]
+            yield pa.RecordBatch.from_arrays([*kept, sizes, digests], names=["id", "text_hash", "n", "digest"])
+
+    text = F.coalesce(text_column, F.lit(""))
+    read = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("text_hash"), text.alias("t"))
+    kind = docs.schema[id_column].dataType.simpleString()
+    return read.mapInArrow(sets, f"id {kind}, text_hash long, n long, digest binary")
+
+
+def _prefix(n: int, percent: int) -> int:
+    return n - -(-percent * n // 100) + 1
+
+
+def frequent_shingles(docs: DataFrame, text_column: str, total: int, percent: int, most: int) -> tuple[np.ndarray, int]:
+    """Leading bits of frequent shingle hashes, rarest first, and by how many bits a hash is shifted for them.
+
+    Each task packs the smaller hashes of its distinct sets (half as many again as a prefix holds), and of the others
+    those it has seen twice, into buckets by their first bits, five bytes each; a bucket is then counted as one array. The `most` most frequent ones are the result,
+    those with equal counts by value; they decide the order of the index only, never what is found.
+    """
+    bits = max(8, (max(1, total * (100 - percent) * 3 // 200) // BUCKET).bit_length())
+    shift = 64 - bits - 40
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, seen, low, high, held = Hasher(), set(), [], [], 0
+        for batch in batches:
             for values in hasher.sets(batch.column("t")):
                 digest = _digest(values)
-                sizes.append(len(values))
-                digests.append(digest)
                 if len(values) and digest not in seen:
                     seen.add(digest)
-                    group.append(values)
+                    cut = _prefix(len(values), percent) * 3 // 2
+                    low.append(values[:cut])
+                    high.append(values[cut:])
                     held += len(values)
-                    if held > GROUP:
-                        note()
-                        group, held = [], 0
-            if group:
-                note()
-            no = len(sizes)
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(no, pa.int64()), pa.nulls(no, pa.int64())],
-                schema=schema,
-            )
-            if tokens:
-                t, c = np.concatenate(tokens), np.concatenate(counts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(t), ids.type), pa.nulls(len(t), pa.int64()), pa.nulls(len(t), pa.binary()), pa.array(t), pa.array(c)],
-                    schema=schema,
-                )
-
-    read = docs.select(F.col(id_column).alias("id"), F.coalesce(text_column, F.lit("")).alias("t"))
-    kind = docs.schema[id_column].dataType.simpleString()
-    return read.mapInArrow(sets, f"id {kind}, n long, digest binary, token long, count long")
+                    if held > 6_000_000:
+                        yield packed(low, high)
+                        low, high, held = [], [], 0
+        if held:
+            yield packed(low, high)
+
+    def packed(low: list[np.ndarray], high: list[np.ndarray]) -> pa.RecordBatch:
+        others, times = np.unique(np.concatenate(high), return_counts=True)
+        repeated = np.repeat(others[times > 1], times[times > 1])
+        values = np.sort(np.concatenate([*low, repeated])) >> np.uint64(shift)
+        bucket = (values >> np.uint64(40)).astype(np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        raw = values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:]
+        blobs = [raw[i:j].tobytes() for i, j in zip(starts, [*starts[1:], len(values)])]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+    def count(key: tuple, table: pa.Table) -> pa.Table:
+        raw = np.frombuffer(b"".join(table.column("blob").to_pylist()), dtype=np.uint8).reshape(-1, 5)
+        wide = np.zeros((len(raw), 8), dtype=np.uint8)
+        wide[:, 3:] = raw
+        values, times = np.unique(wide.view(">u8").ravel().astype(np.int64), return_counts=True)
+        often = times >= OFTEN
+        return pa.table({"value": values[often] + (key[0].as_py() << 40), "times": times[often]})
+
+    packs = docs.select(F.coalesce(text_column, F.lit("")).alias("t")).mapInArrow(pack, "bucket long, blob binary")
+    counted = packs.groupBy("bucket").applyInArrow(count, "value long, times long")
+    top = counted.orderBy(F.desc("times"), "value").limit(most).collect()
+    return np.array([r.value for r in top][::-1], dtype=np.int64).view(np.uint64), shift
 
 
 def _sid(digest: Column, part: int) -> Column:
     return F.conv(F.hex(F.substring(digest, 8 * part + 1, 8)), 16, -10).cast("long")
 
 
-def postings(docs: DataFrame, text_column: str, frequent: np.ndarray, part: int, percent: int) -> DataFrame:
+def postings(docs: DataFrame, text_column: str, frequent: np.ndarray, shift: int, part: int, percent: int) -> DataFrame:
     """(token, sid, n, pos, often): the prefix of each set under the order of the index, once a task for equal sets.
 
     Rare shingles come first, by hash; then the frequent ones, rarer before. Two sets of at least the similarity asked
@@ -107,12 +131,13 @@ def postings(docs: DataFrame, text_column: str, frequent: np.ndarray, part: int,
                 if digest in seen:
                     continue
                 seen.add(digest)
-                length = n - -(-percent * n // 100) + 1
-                places = np.searchsorted(known, values)
+                length = _prefix(n, percent)
+                heads = values >> np.uint64(shift)
+                places = np.searchsorted(known, heads)
                 places[places == len(known)] = 0
-                often = known[places] == values if len(known) else np.zeros(n, dtype=bool)
+                often = known[places] == heads if len(known) else np.zeros(n, dtype=bool)
                 rare = values[~often][:length]
-                tail = values[often][np.argsort(order[places[often]])][: length - len(rare)]
+                tail = values[often][np.argsort(order[places[often]], kind="stable")][: length - len(rare)]
                 prefix = np.concatenate([rare, tail])
                 sid = int.from_bytes(digest[8 * part : 8 * part + 8], "big", signed=True)
                 for column, made in zip(
@@ -188,7 +213,7 @@ def _mixed_lists(index: DataFrame, roots: DataFrame) -> DataFrame:
 def join_classes(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT, frequent: int = FREQUENT
 ) -> DataFrame:
-    """(id, n_shingles, component_id), one row per row of `docs`.
+    """(id, n_shingles, component_id, text_hash), one row per row of `docs`.
 
     A row's set are the distinct runs of five words (A-Z lower-cased, cut at white space); all words if there are fewer;
     empty without words or text. Two rows link if their sets' intersection is at least `percent` % of the union, exactly;
@@ -197,15 +222,14 @@ def join_classes(
     empty result; other columns are ignored. Whole texts count; shingles are compared by 64-bit hashes.
 
     Equal sets are one node. The prefixes of all sets form an index: a list of (set, size, position) per shingle. Pairs
-    are skipped whose sizes, or positions in a list, leave too few shingles for the overlap asked. In the first rounds
-    a set is compared with a few random others of its lists only. Where two are found to be highly similar, one takes
+    are skipped whose sizes, or positions in a list, leave too few shingles for the overlap asked. In the first rounds a
+    set is compared with one random other of each of its lists only. Where two are found to be highly similar, one takes
     over what the other is connected with; lists that one component fills are skipped, and then only pairs of different
     components that share a list are left. The component that fills most of a list is never paired with itself, so a
     large group of near copies costs as many comparisons as members, not as pairs. Nothing is capped: the last round
     forms all pairs that are left.
     """
-    known = stored(describe(docs, id_column, text_column), "sets")
-    rows = known.where("digest is not null").select("id", "n", "digest")
+    rows = stored(describe(docs, id_column, text_column), "sets")
     part = 0
     while True:  # four independent 8-byte names for the sets; at 10**10 sets one of them might not be unique
         named = rows.select("digest", _sid(F.col("digest"), part).alias("sid")).distinct()
@@ -216,9 +240,9 @@ def join_classes(
     classes = stored(
         rows.where("n > 0").groupBy("sid").agg(F.min("id").alias("holder"), F.max("n").alias("n")), "classes"
     )
-    top = known.where("token is not null").groupBy("token").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "token")
-    often = np.array([r.token for r in top.limit(frequent).collect()][::-1], dtype=np.int64).view(np.uint64)
-    index = postings(docs, text_column, often, part, percent)
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    often, shift = frequent_shingles(docs, text_column, total, percent, frequent)
+    index = postings(docs, text_column, often, shift, part, percent)
     # lists of one set are dropped; those of frequent shingles are cut into parts and kept
     lists = Window.partitionBy("token", "part")
     spread = F.when(F.col("often"), F.pmod(F.xxhash64("sid", "token"), F.lit(PARTS))).otherwise(0).cast("int")
@@ -226,13 +250,12 @@ def join_classes(
     index = stored(index.where("often or low < high").select("token", "part", "sid", "n", "pos"), "index")
 
     check = lambda pairs: verified(pairs, docs, classes, id_column, text_column, part, percent)
-    roots, tried, placed = None, None, index.withColumn("root", F.col("sid"))
-    for turn, partners in enumerate(PARTNERS):
+    mine = F.struct("sid", "n", "pos", "root")
+    tried, roots, placed = None, None, index.withColumn("root", F.col("sid"))
+    for turn in range(TURNS):
         lists = Window.partitionBy("token", "part").orderBy(F.xxhash64(F.lit(turn), "token", "sid"), "sid")
-        mine = F.struct("sid", "n", "pos", "root")
         met = placed.select("token", mine.alias("l"), F.lead(mine).over(lists).alias("r"))
-        few = F.pmod(F.xxhash64("token", F.lit(turn)), F.greatest(F.lit(1), F.floor(F.col("l.n") / (5 * partners)))) == 0
-        pairs = _ordered(met.where(few & F.expr("l.root <> r.root") & _may_link(percent, first=False)))
+        pairs = _ordered(met.where("l.root <> r.root").where(_may_link(percent, first=False)))
         pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = check(pairs)
@@ -253,4 +276,27 @@ def join_classes(
         F.col("id").alias(id_column),
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+        "text_hash",
     )
+
+
+def drop_near_duplicates(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT
+) -> DataFrame:
+    """The rows of `docs`, with all their columns, but for those that link to a row of a smaller id (see `join_classes`).
+
+    Of each component the row with the smallest id stays; of rows that repeat both its id and its text, one. Rows
+    without words all stay, as they link with nothing.
+    """
+    classes = stored(join_classes(docs, id_column, text_column, percent), "classes")
+    key, h = fresh(docs.columns, "id_lost"), fresh(docs.columns, "text_lost")
+    lost = classes.where(~F.col(id_column).eqNullSafe(F.col("component_id")))
+    lost = stored(lost.select(F.col(id_column).alias(key), F.col("text_hash").alias(h)).distinct(), "lost")
+    small = F.broadcast(lost) if lost.count() <= BROADCAST_IDS else lost
+    same = F.col(id_column).eqNullSafe(F.col(key)) & (F.xxhash64(text_column) == F.col(h))
+    kept = docs.join(small, same, "left_anti")
+    worded = classes.where("n_shingles > 0")
+    if worded.groupBy(id_column, "text_hash").count().where("count > 1").isEmpty():
+        return kept
+    blank = F.btrim(F.coalesce(text_column, F.lit("")), F.lit(SPACES)) == ""
+    return kept.where(~blank).dropDuplicates([id_column, text_column]).unionByName(kept.where(blank))

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Letters of labelled text a language's automaton is built from, and the languages with most labelled text that count.
 LETTERS = 60_000
@@ -149,8 +150,9 @@ def identify(
     text_column: str = "text",
     lang_column: str = "lang",
     letters: int = LETTERS,
+    carry: str | None = None,
 ) -> DataFrame:
-    """(id, held_out, lang_pred, score), one row per row of `docs`.
+    """(id, held_out, lang_pred, score), one row per row of `docs`; the column `carry`, if named, comes along.
 
     Rows with crc32(id as text) % 4 = 2 are held out: the automata are built from other rows with a text and a language
     (a bounded sample, `letters` a language). Each word of a text, letters in lower case between two spaces, is parsed
@@ -170,18 +172,32 @@ def identify(
         for batch in batches:
             parser = parser or Parser(learnt)
             said = [(UNKNOWN, 0.0) if t is None else verdict(parser.counts(t), names) for t in batch.column("t").to_pylist()]
+            made = [pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())]
+            along = [batch.column("carried")] if carry else []
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"),
-                    batch.column("held_out"),
-                    pa.array([x[0] for x in said], pa.string()),
-                    pa.array([x[1] for x in said], pa.float64()),
-                ],
-                names=[id_column, "held_out", "lang_pred", "score"],
+                [batch.column("id"), batch.column("held_out"), *made, *along],
+                names=[id_column, "held_out", "lang_pred", "score", *[carry] * len(along)],
             )
 
     read = docs.select(
-        F.col(id_column).alias("id"), F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), F.col(text_column).alias("t")
+        F.col(id_column).alias("id"),
+        F.coalesce(remainder == 2, F.lit(False)).alias("held_out"),
+        F.col(text_column).alias("t"),
+        *([F.col(carry).alias("carried")] if carry else []),
     )
-    kind = docs.schema[id_column].dataType.simpleString()
-    return read.mapInArrow(judge, f"`{id_column}` {kind}, held_out boolean, lang_pred string, score double")
+    schema = T.StructType([T.StructField(id_column, docs.schema[id_column].dataType)])
+    schema = schema.add("held_out", "boolean").add("lang_pred", "string").add("score", "double")
+    if carry:
+        schema = schema.add(carry, docs.schema[carry].dataType)
+    return read.mapInArrow(judge, schema)
+
+
+def keep_identified(docs: DataFrame, text_column: str = "text", **columns) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose language `identify` can tell: all but those that are `und`."""
+    kept = docs.columns
+    said = identify(docs.select("*", F.struct(*map(_quoted, kept)).alias("whole_row_")), text_column=text_column, carry="whole_row_", **columns)
+    return said.where(F.col("lang_pred") != UNKNOWN).select(*[F.col("whole_row_").getField(c).alias(c) for c in kept])
+
+
+def _quoted(name: str) -> Column:
+    return F.col(f"`{name}`")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from marquee.llm.common import n_words, stored
+from marquee.llm.common import fresh, n_words, stored
 
 #: Weights of the sources in code-point order, null last, repeating; repeats a document may have; slots of a schedule.
 WEIGHTS = (5, 2, 1)
@@ -42,7 +42,7 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 
 def _laid_out(docs: DataFrame, id_column: str, text_column: str, source_column: str) -> DataFrame:
-    """(id, source, size, start): each source's documents end to end, in the order of their hashes."""
+    """(id, source, size, text_hash, start): each source's documents end to end, in the order of their hashes."""
     mixed = F.md5(F.concat_ws("/", F.lit("mix"), F.col(id_column).cast("string")).cast("binary"))
     rows = stored(
         docs.select(
@@ -50,6 +50,7 @@ def _laid_out(docs: DataFrame, id_column: str, text_column: str, source_column:
             F.col(source_column).alias("source"),
             n_words(F.col(text_column)).alias("size"),
             mixed.alias("h"),
+            F.xxhash64(text_column).alias("text_hash"),
         ).withColumn("chunk", F.conv(F.substring("h", 1, 3), 16, 10).cast("int")),
         "sizes",
     )
@@ -63,7 +64,7 @@ def _laid_out(docs: DataFrame, id_column: str, text_column: str, source_column:
     )
     placed = rows.withColumn("ahead", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
     met = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c")))
-    return met.select("id", "source", "size", (F.col("base") + F.col("ahead")).alias("start"))
+    return met.select("id", "source", "size", "text_hash", (F.col("base") + F.col("ahead")).alias("start"))
 
 
 def schedule(spark, plan: list[dict], slots: int) -> DataFrame:
@@ -121,7 +122,7 @@ def mix(
     First: (slot, source, block, epoch, first_word, n_words): the blocks of the mixture in reading order. A block is
     n_words words of its source's stream (its documents end to end in hash order, repeated) from `first_word` of the
     stream's current pass on; blocks are equal but for the last of a pass and the last of a target.
-    Second: (id, size, source_size, target, taken), one row per row of `docs`: its words, its source's words, what the
+    Second: (id, size, source_size, target, taken, text_hash), one row per row of `docs`: its words, its source's words, what the
     mixture should take of the source and what it takes of the row, repeats counted.
 
     Sources are ordered by code point, null (a source like others) last; they weigh `weights`, repeating, and share the
@@ -185,5 +186,20 @@ def mix(
     # a start belongs to one row with words; rows without words take none
     out = rows.join(taken, (F.col("src") == F.col("s")) & (F.col("start") == F.col("at")) & (F.col("size") > 0), "left")
     return blocks.drop("src"), out.select(
-        F.col("id").alias(id_column), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")
+        F.col("id").alias(id_column), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"),
+        "text_hash",
     )
+
+
+def mixed_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """The mixture in whole documents: each row of `docs` ceil(taken / size) times (see `mix`), 0 to `most` of them.
+
+    A row without words stays once, as it takes no room. Rows that repeat both id and text get the same number each.
+    """
+    key, h, n = (fresh(docs.columns, x) for x in ("id_mixed", "text_mixed", "copies"))
+    taken = mix(docs, id_column, text_column, **options)[1]
+    times = F.when(F.col("size") == 0, 1).otherwise(F.ceil(F.col("taken") / F.col("size"))).cast("int")
+    copies = taken.groupBy(F.col(id_column).alias(key), F.col("text_hash").alias(h)).agg(F.max(times).alias(n))
+    same = F.col(id_column).eqNullSafe(F.col(key)) & (F.xxhash64(text_column) == F.col(h))
+    met = docs.join(copies.where(F.col(n) > 0), same)
+    return met.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(docs.columns)

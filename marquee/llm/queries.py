@@ -86,7 +86,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir))[1]
+    return mixing.mix(documents(spark, sf_dir))[1].drop("text_hash")
 
 
 @query("op7_shard")
@@ -162,7 +162,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join_classes(documents(spark, sf_dir))
+    return jaccard.join_classes(documents(spark, sf_dir)).drop("text_hash")
 
 
 @query(
