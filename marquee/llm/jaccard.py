@@ -23,8 +23,8 @@ FREQUENT = 200_000
 PARTS = 64
 #: Shingles of a bucket when they are counted.
 BUCKET = 250_000
-#: Rounds in which a set meets a random other of each of its lists, before all pairs that are left are formed.
-TURNS = 2
+#: In rounds before all pairs that are left are formed, a set meets so many random others of each of its lists.
+PARTNERS = (1, 5)
 #: Up to so many ids are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 
@@ -75,7 +75,7 @@ def frequent_shingles(docs: DataFrame, text_column: str, total: int, percent: in
                     low.append(values[:cut])
                     high.append(values[cut:])
                     held += len(values)
-                    if held > 6_000_000:
+                    if held > 2_500_000:
                         yield packed(low, high)
                         low, high, held = [], [], 0
         if held:
@@ -223,7 +223,7 @@ def join_classes(
 
     Equal sets are one node. The prefixes of all sets form an index: a list of (set, size, position) per shingle. Pairs
     are skipped whose sizes, or positions in a list, leave too few shingles for the overlap asked. In the first rounds a
-    set is compared with one random other of each of its lists only. Where two are found to be highly similar, one takes
+    set is compared with a few random others of each of its lists only. Where two are found to be highly similar, one takes
     over what the other is connected with; lists that one component fills are skipped, and then only pairs of different
     components that share a list are left. The component that fills most of a list is never paired with itself, so a
     large group of near copies costs as many comparisons as members, not as pairs. Nothing is capped: the last round
@@ -252,10 +252,13 @@ def join_classes(
     check = lambda pairs: verified(pairs, docs, classes, id_column, text_column, part, percent)
     mine = F.struct("sid", "n", "pos", "root")
     tried, roots, placed = None, None, index.withColumn("root", F.col("sid"))
-    for turn in range(TURNS):
+    for turn, partners in enumerate(PARTNERS):
         lists = Window.partitionBy("token", "part").orderBy(F.xxhash64(F.lit(turn), "token", "sid"), "sid")
-        met = placed.select("token", mine.alias("l"), F.lead(mine).over(lists).alias("r"))
-        pairs = _ordered(met.where("l.root <> r.root").where(_may_link(percent, first=False)))
+        others = F.array(*[F.lead(mine, k + 1).over(lists) for k in range(partners)])
+        met = placed.select("token", mine.alias("l"), others.alias("others")).select(
+            "l", F.explode(F.filter("others", lambda r: r["root"] != F.col("l.root"))).alias("r")
+        )
+        pairs = _ordered(met.where(_may_link(percent, first=False)))
         pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = check(pairs)
