@@ -51,3 +51,10 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = shared_folder(df, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_batches(df: DataFrame, rows: int = 1_000) -> None:
+    """Texts are long: lets at most `rows` of them pass to Python at a time, which bounds the memory of a task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name, "10000")) <= rows:
+        df.sparkSession.conf.set(name, str(rows))

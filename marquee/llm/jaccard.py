@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marquee.llm.common import SPACES, fresh, stored
+from marquee.llm.common import SPACES, fresh, small_batches, stored
 from marquee.llm.components import components
 from marquee.llm.shingles import Hasher
 
@@ -75,7 +75,7 @@ def frequent_shingles(docs: DataFrame, text_column: str, total: int, percent: in
                     low.append(values[:cut])
                     high.append(values[cut:])
                     held += len(values)
-                    if held > 2_500_000:
+                    if held > 2_000_000:
                         yield packed(low, high)
                         low, high, held = [], [], 0
         if held:
@@ -229,6 +229,7 @@ def join_classes(
     large group of near copies costs as many comparisons as members, not as pairs. Nothing is capped: the last round
     forms all pairs that are left.
     """
+    small_batches(docs)
     rows = stored(describe(docs, id_column, text_column), "sets")
     part = 0
     while True:  # four independent 8-byte names for the sets; at 10**10 sets one of them might not be unique

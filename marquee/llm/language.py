@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marquee.llm.common import small_batches
+
 #: Letters of labelled text a language's automaton is built from, and the languages with most labelled text that count.
-LETTERS = 60_000
+LETTERS = 40_000
 MOST_LANGUAGES = 200
 #: Words of a task whose phrase counts are remembered.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 UNKNOWN = "und"
 RUN = re.compile(r"[^\W\d_]+")
 
@@ -162,6 +164,7 @@ def identify(
     labelled. A row with a null id is neither held out nor learnt from. An empty table gives an empty result; rows
     repeated are judged each; other columns are ignored.
     """
+    small_batches(docs)
     remainder = F.pmod(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(4))
     texts = training_rows(docs, id_column, text_column, lang_column, remainder != 2, letters)
     names = list(texts)

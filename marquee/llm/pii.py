@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marquee.llm.common import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 #: Rows the labelled table is drawn from, and its sequences.
@@ -356,6 +358,7 @@ def find_personal_data(
     that the fixed patterns label. Null is the empty text; a text without findings has empty spans. Whole texts are
     searched, however long; rows repeated, null ids and empty tables need nothing special; other columns are ignored.
     """
+    small_batches(docs)
     model = train(labelled if labelled is not None else labelled_table(docs, id_column, text_column))
     weights, steps = model.weights, model.steps
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import stored
+from marquee.llm.common import small_batches, stored
 
 #: Bytes after which an archive is closed, entries of an index block, and how hard records are compressed.
 ARCHIVE_BYTES = 1 << 30
@@ -276,6 +276,7 @@ def archive_round_trip(
     Ids are whole numbers; a null id is below all others, and in a group of null ids alone all are responses. A null url has the empty key. Rows repeated are records of their own, all read back. An empty table gives
     an empty result, other columns are ignored. `folder` is a URI of a store that driver and executors share.
     """
+    small_batches(pages)
     captures = stored(write_archives(pages, folder, id_column, url_column, html_column, least), "captures")
     head = build_index(captures, folder)
     found = look_up(captures, head, folder)
