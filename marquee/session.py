@@ -43,9 +43,11 @@ def local_session(cores: str = "8", **conf: str) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a scratch one only where none is named."""
+    """The cluster's shared checkpoint folder; a scratch one only on a local master where none is named."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and context.getCheckpointDir() is None and not context.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="marquee-checkpoint-"))
     return named or context.getCheckpointDir()
