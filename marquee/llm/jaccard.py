@@ -75,7 +75,7 @@ def frequent_shingles(docs: DataFrame, text_column: str, total: int, percent: in
                     low.append(values[:cut])
                     high.append(values[cut:])
                     held += len(values)
-                    if held > 2_000_000:
+                    if held > 500_000:
                         yield packed(low, high)
                         low, high, held = [], [], 0
         if held:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from marquee.llm.common import SHINGLE
 
 #: Bytes of text hashed at a time: bounds the memory of a task, also for a single huge text.
-PIECE = 1 << 20
+PIECE = 1 << 16
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
