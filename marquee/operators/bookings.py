@@ -192,7 +192,7 @@ def expire_pending(
         (F.unix_seconds(F.lit(as_of).cast("timestamp")) - F.unix_seconds(F.col("create_at").cast("timestamp"))) / 60
     )
     due = age % 60 if mode == "mod60" else age
-    paying = payments.groupBy("booking_id").agg(F.min_by("status", "create_at").alias("payment_status"))
+    paying = payments.groupBy("booking_id").agg(F.min_by("status", F.struct("create_at", "payment_id")).alias("payment_status"))
     paid = F.coalesce(F.col("payment_status") == "PAID", F.lit(False))
     return (
         by_status(bookings, "PENDING")

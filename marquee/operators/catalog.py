@@ -91,17 +91,19 @@ def catalog(
 ) -> DataFrame:
     """Movies with their genres and comments nested.
 
-    A movie with many comments comes as several parts of about
-    `comments_per_part`; a comment's part follows from its id alone, so no task
-    ever holds all comments of a movie.
+    A movie with many comments comes as several rows, parts of about
+    `comments_per_part`; a comment's part follows from its id and the movie's
+    number of comments, so no task ever holds all comments of a movie.
+    `n_comments` is that number, the same in every part.
     """
     named = comments.join(users.select("user_id", "username"), "user_id")
-    sizes = named.groupBy("movie_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(comments_per_part)).alias("parts"))
+    sizes = named.groupBy("movie_id").agg(F.count(F.lit(1)).alias("n_comments"))
+    sizes = sizes.withColumn("parts", F.ceil(F.col("n_comments") / F.lit(comments_per_part)))
     spread = F.conv(F.substring(F.md5("comment_id"), 1, 8), 16, 10).cast("long")
     nested = (
         named.join(sizes, "movie_id")
         .withColumn("part", spread % F.col("parts"))
-        .groupBy("movie_id", "parts", "part")
+        .groupBy("movie_id", "n_comments", "parts", "part")
         .agg(
             F.sort_array(
                 F.collect_list(F.struct("comment_id", "username", "comment", "rated", "liked", "disliked", "update_at"))
@@ -111,6 +113,7 @@ def catalog(
     return (
         movies.join(genre_lists(movie_genre), "movie_id", "left")
         .join(nested, "movie_id", "left")
+        .withColumn("n_comments", F.coalesce("n_comments", F.lit(0).cast("long")))
         .withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
         .withColumn("part", F.coalesce("part", F.lit(0).cast("long")))
     )

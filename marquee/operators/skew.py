@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from marquee.session import materialize
 
 ROWS_PER_CHUNK = 1_000_000
-MAX_HOT_KEYS = 1_000  # any key beyond these holds under 1/1000 of the rows
+BROADCAST_KEYS = 100_000  # longer lists of hot keys are joined by a shuffle
 
 
 def micros(ts: Column | str) -> Column:
@@ -30,9 +30,8 @@ def hot_keys(
     """How to cut the keys of more than `rows_per_chunk` rows; None if there are none.
 
     `pos` is the whole-number position that leads the window order.  The first
-    table cuts the span of each such key, of which it holds at most
-    MAX_HOT_KEYS, into pieces of equal width; further tables cut the pieces
-    again that turn out too large, as where a key comes in bursts.  All counts
+    table cuts the span of each such key into pieces of equal width; further
+    tables cut the pieces again that turn out too large, as where a key comes in bursts.  All counts
     are combined map-side.  `source` may name a stored table of at least as many
     rows: its row count, read from file footers, may settle it.
     """
@@ -48,13 +47,11 @@ def hot_keys(
         .groupBy(key)
         .agg(count, F.min(pos).alias("_chunk"), F.max(pos).alias("_hi"))
         .filter(F.col("_n") > rows_per_chunk)
-        .orderBy(F.desc("_n"))
-        .limit(MAX_HOT_KEYS)
     )
     cuts = [materialize(largest.select(key, "_chunk", narrower(F.col("_hi") - F.col("_chunk") + 1).alias("_width")))]
     if cuts[0].isEmpty():
         return None
-    only_hot = df.select(key, pos.alias("_at")).join(F.broadcast(cuts[0].select(key)), key, "left_semi")
+    only_hot = df.select(key, pos.alias("_at")).join(_short(cuts[0]).select(key), key, "left_semi")
     while True:
         sizes = _cut(only_hot, key, F.col("_at"), cuts).groupBy(key, "_chunk", "_width").agg(count)
         large = sizes.filter((F.col("_n") > 2 * rows_per_chunk) & (F.col("_width") > 1))
@@ -64,10 +61,15 @@ def hot_keys(
         cuts.append(again)
 
 
+def _short(keys: DataFrame) -> DataFrame:
+    """Stored `keys`, broadcast if they are few: there can be rows / rows_per_chunk of them."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def _cut(df: DataFrame, key: str, pos: Column, cuts: list[DataFrame]) -> DataFrame:
     """Add `_chunk`, the position at which the row's chunk starts, and its `_width`; null for ordinary keys."""
     start = F.col("_chunk") + F.expr("((_pos - _chunk) div _width) * _width")
-    rows = df.withColumn("_pos", pos).join(F.broadcast(cuts[0]), key, "left").withColumn("_chunk", start)
+    rows = df.withColumn("_pos", pos).join(_short(cuts[0]), key, "left").withColumn("_chunk", start)
     for cut in cuts[1:]:
         rows = (
             rows.withColumnRenamed("_width", "_w")

@@ -10,7 +10,7 @@ from marquee.plans.registry import plan
 from marquee.session import materialize
 from marquee.sources.testdata import Views
 
-AS_OF = "2001-08-02 00:00:00"  # after the last of the given pending bookings
+AS_OF = "1999-06-01 12:07:00"  # some of the given pending bookings are younger
 
 
 @plan(
@@ -196,14 +196,18 @@ def expired(v: Views) -> DataFrame:
     return B.expire_pending(v.bookings, v.payments, AS_OF)
 
 
-_EXPIRED = {
-    "expired": """SELECT b.booking_id, b.user_id, b.show_id, p.status AS payment_status,
-        CAST(floor(epoch(TIMESTAMP '2001-08-02 00:00:00' - b.create_at) / 60) AS BIGINT) AS age_minutes,
+def _expired_sql(due: str) -> str:
+    return f"""SELECT b.booking_id, b.user_id, b.show_id, p.status AS payment_status,
+        CAST(floor(epoch(TIMESTAMP '{AS_OF}' - b.create_at) / 60) AS BIGINT) AS age_minutes,
         CASE WHEN p.status = 'PAID' THEN 'BOOKED' ELSE 'CANCLED' END AS new_status,
         CASE WHEN p.status = 'PAID' THEN 'BOOKED' ELSE 'AVAILABLE' END AS seat_status,
         coalesce(p.status = 'CANCLED', false) AS is_spam
         FROM bookings b LEFT JOIN payments p USING (booking_id)
-        WHERE b.status = 'PENDING' AND b.create_at <= TIMESTAMP '2001-08-02 00:00:00' - INTERVAL 15 MINUTE""",
+        WHERE b.status = 'PENDING' AND {due}"""
+
+
+_EXPIRED = {
+    "expired": _expired_sql(f"b.create_at <= TIMESTAMP '{AS_OF}' - INTERVAL 15 MINUTE"),
     "marks": "SELECT user_id, count(*) AS n FROM expired WHERE is_spam GROUP BY user_id",
 }
 
@@ -220,6 +224,19 @@ def _expire(v: Views) -> DataFrame:
     return expired(v).select(*_EXPIRED_COLUMNS)
 
 
+@plan(
+    "expire_pending_mod60",
+    with_views(
+        f"SELECT {', '.join(_EXPIRED_COLUMNS)} FROM expired",
+        "bookings",
+        "payments",
+        expired=_expired_sql("age_minutes % 60 >= 15"),
+    ),
+)
+def _expire_mod60(v: Views) -> DataFrame:
+    return B.expire_pending(v.bookings, v.payments, AS_OF, mode="mod60").select(*_EXPIRED_COLUMNS)
+
+
 @plan(
     "expire_pending_seats",
     _expiry_oracle(

@@ -150,32 +150,42 @@ def _cards(v: Views) -> DataFrame:
     )
 
 
-@plan(
-    "movie_catalog",
-    with_views(
-        "SELECT m.movie_id, title, genres, coalesce(n, 0) AS n_comments, coalesce(comments, '') AS comments FROM movies m "
-        "LEFT JOIN genre_lists USING (movie_id) LEFT JOIN nested n ON n.movie_id = m.movie_id",
+def catalog_oracle(per_part: int) -> str:
+    return with_views(
+        "SELECT m.movie_id, title, genres, coalesce(part, 0) AS part, coalesce(n, 0) AS n_comments, "
+        "coalesce(comments, '') AS comments FROM movies m "
+        "LEFT JOIN genre_lists USING (movie_id) LEFT JOIN nested ON nested.movie_id = m.movie_id",
         "movies",
         "movie_genre",
         "comments",
         "users",
         genre_lists=_GENRES_SQL,
-        nested="""SELECT movie_id, count(*) AS n, string_agg(comment_id || ' ' || username || ' ' || CAST(rated AS VARCHAR)
-            || ' ' || comment, chr(10) ORDER BY comment_id) AS comments FROM comments JOIN users USING (user_id)
-            GROUP BY movie_id""",
-    ),
-)
-def _catalog(v: Views) -> DataFrame:
+        named=f"""SELECT c.*, username, count(*) OVER (PARTITION BY movie_id) AS n,
+            CAST('0x' || substr(md5(comment_id), 1, 8) AS BIGINT)
+              % ((count(*) OVER (PARTITION BY movie_id) + {per_part - 1}) // {per_part}) AS part
+            FROM comments c JOIN users USING (user_id)""",
+        nested="""SELECT movie_id, n, part, string_agg(comment_id || ' ' || username || ' ' || CAST(rated AS VARCHAR)
+            || ' ' || comment, chr(10) ORDER BY comment_id) AS comments FROM named GROUP BY movie_id, n, part""",
+    )
+
+
+def catalog_rows(v: Views, per_part: int) -> DataFrame:
     line = "concat_ws(' ', c.comment_id, c.username, cast(c.rated AS string), c.comment)"
-    return C.catalog(v.movies, v.movie_genre, v.comments, v.users).select(
+    return C.catalog(v.movies, v.movie_genre, v.comments, v.users, per_part).select(
         "movie_id",
         "title",
         F.array_join("genres", ", ").alias("genres"),
-        F.coalesce(F.size("comments"), F.lit(0)).cast("long").alias("n_comments"),
+        "part",
+        "n_comments",
         F.coalesce(F.expr(f"array_join(transform(comments, c -> {line}), chr(10))"), F.lit("")).alias("comments"),
     )
 
 
+@plan("movie_catalog", catalog_oracle(1_000))
+def _catalog(v: Views) -> DataFrame:
+    return catalog_rows(v, 1_000)
+
+
 @plan(
     "movie_popularity",
     with_views(

@@ -79,11 +79,11 @@ class _History(StatefulProcessor):
             near = sum(t - then <= self.fast_us for then, _ in recent[-(self.fast_count - 1) :])
             if recent and t - recent[-1][0] >= self.expiry_us:
                 recent = []
-            past = np.array([a for _, a in recent[-self.length :]])
+            past = np.array([a for _, a in recent[-self.length :] if a is not None])
             n = len(past)
             mean = float(past.mean()) if n else None
             sd = float(past.std()) if n else None
-            judged = n >= self.minimum and sd > 0
+            judged = n >= self.minimum and sd > 0 and row["amount"] is not None
             kept = row.asDict()
             del kept["_t"], kept["_who"]
             yield Row(
@@ -101,6 +101,8 @@ class _History(StatefulProcessor):
             self.recent.put(recent)
             if ip is not None:
                 self.address.update((ip,))
+            else:
+                self.address.clear()
             for timer in self.handle.listTimers():
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer((recent[-1][0] + self.expiry_us) // 1000 + 1)

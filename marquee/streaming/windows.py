@@ -22,10 +22,11 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 STATE_CONF = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}
 
 
-def dedup_within_watermark(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+def dedup_within_watermark(events: DataFrame, delay: str) -> DataFrame:
     """First event per payment; repeats within at least `delay` are dropped.
 
-    Repeats shortly after the delay may be dropped too; `anchored` has the exact rule.
+    Repeats shortly after the delay may be dropped too, and `delay` is also the lateness: what comes later than that is
+    lost. `dedup_exact` follows the rule exactly and takes events up to a day late.
     """
     return events.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["payment_id"])
 

@@ -6,6 +6,7 @@ import pytest
 
 from __spark_entry__ import entry
 from marquee.plans.all import ORACLES, PLANS
+from marquee.plans.catalog import catalog_oracle, catalog_rows
 from marquee.session import tune
 from marquee.sources.testdata import Views
 from tools.check_oracle import compare, duck
@@ -30,3 +31,16 @@ def test_entry(spark):
 def test_query(spark, con, tiny, name):
     verdict = compare(spark, con, tiny, name, QUERIES[name], ORACLES[name])
     assert verdict.startswith("ok"), verdict
+
+
+def test_catalog_in_parts(spark):
+    folder = "/root/testdata/sf0.01"  # the smallest tables have no movie of several comments
+    query = lambda spark, folder: catalog_rows(Views(tune(spark), folder), 2)
+    assert query(spark, folder).filter("part > 0").count() > 0
+    verdict = compare(spark, duck(folder), folder, "movie_catalog", query, catalog_oracle(2))
+    assert verdict.startswith("ok"), verdict
+
+
+def test_expiry_leaves_young_bookings(spark, tiny):
+    v = Views(tune(spark), tiny)
+    assert 0 < PLANS["expire_pending"](v).count() < v.bookings.filter("status = 'PENDING'").count()

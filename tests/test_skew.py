@@ -96,6 +96,13 @@ def test_hot_keys_are_few_and_found(spark):
     assert hot_keys(df, "key", F.col("t"), 100, source=df.limit(50)) is None
 
 
+def test_every_hot_key_is_cut(spark):
+    df = spark.range(1_500 * 4).selectExpr("cast(id % 1500 AS string) AS key", "id AS t")
+    hot = hot_keys(df, "key", F.col("t"), 3)
+    assert hot[0].count() == 1_500
+    assert chunked(df, "key", F.col("t"), hot).filter("NOT _is_hot").isEmpty()
+
+
 def test_bursts_are_cut_again(spark):
     times = [*range(900), *(1_000_000 + 997 * i for i in range(60)), *(5_000_000 for _ in range(80))]
     df = spark.createDataFrame([("hot", t) for t in times] + [("k", 1)], "key string, t long")

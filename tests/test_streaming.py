@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marquee.operators import anomaly as A
 from marquee.operators import payments as P
@@ -135,3 +138,23 @@ def test_sinks_survive_a_replayed_batch(spark, tmp_path):
     once(one, 0)
     once(one, 0)
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+
+
+def test_missing_address_and_amount_across_batches(spark, tmp_path):
+    """A null address or amount has the effect it has in batch, wherever a micro-batch ends."""
+    from datetime import datetime, timedelta
+
+    addresses = ["A", None, "B", "B", None, "A", "C", "C", "A", "A", None, "B", "B", "B", "C"]
+    given = [
+        {
+            "event_id": f"e{i:02}", "payment_id": f"p{i}", "user_id": "u", "device_ip": ip,
+            "event_time": datetime(2024, 1, 1) + timedelta(days=2 * i), "amount": None if i % 5 == 3 else 10.0 + i % 3,
+        }
+        for i, ip in enumerate(addresses)
+    ]
+    schema = T.StructType.fromDDL(PAYMENT_EVENT)
+    events = spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in given], schema)
+    folder, out = in_order(events, "event_time", str(tmp_path / "in")), str(tmp_path / "out")
+    run(SA.with_history(source.event_files(spark, folder, files_per_trigger=1)), sinks.append_once(out), tmp_path)
+    columns = ("event_id", "is_device_change", "history_n", F.round("z", 9))
+    assert rows(spark.read.parquet(out), *columns) == rows(A.with_history(events), *columns)
