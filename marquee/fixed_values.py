@@ -48,6 +48,7 @@ SHOW_FULL = "Sorry, seats of this show are full. Please choose another show"
 SEAT_NOT_FOUND = "Not found seat id: "
 SEAT_RESERVED = "Seat ID %s is reserved"
 TICKET_NOT_FOUND = "Ticket is not found"
+TICKET_ID_NOT_FOUND = "Ticket ID %s is not found"
 SAME_STATUS = "This ticket already have this status"
 NOT_CANCELLABLE = "This ticket can not be cancled"
 ALREADY_SETTLED = "This ticket have been already paid or canceled before."

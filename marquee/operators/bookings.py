@@ -73,18 +73,46 @@ def payable(bookings: DataFrame, booking_seats: DataFrame, payments: DataFrame)
 # -- request checks -----------------------------------------------------------
 
 
+def check_payment_requests(
+    requests: DataFrame, bookings: DataFrame, users: DataFrame, booking_seats: DataFrame, payments: DataFrame
+) -> DataFrame:
+    """Payment requests (booking_id, username) with the `amount` to charge, or the first reason against them."""
+    known = bookings.join(users.select("user_id", F.col("username").alias("_owner")), "user_id", "left")
+    prices = booking_seats.groupBy("booking_id").agg(F.sum("price").alias("_price"))
+    paying = payments.select("booking_id", F.lit(True).alias("_paying")).distinct()
+    missing = F.format_string(V.TICKET_ID_NOT_FOUND, "booking_id")
+    reason = (
+        F.when(F.col("_status").isNull(), missing)
+        .when(F.col("_status") != "PENDING", V.ALREADY_SETTLED)
+        .when(F.col("_paying"), V.ALREADY_PENDING)
+        .when(~F.col("username").eqNullSafe(F.col("_owner")), missing)
+    )
+    return (
+        requests.join(known.select("booking_id", F.col("status").alias("_status"), "_owner"), "booking_id", "left")
+        .join(paying, "booking_id", "left")
+        .join(prices, "booking_id", "left")
+        .withColumn("reason", reason)
+        .withColumn("accepted", F.col("reason").isNull())
+        .withColumn("amount", F.when(F.col("accepted"), F.coalesce("_price", F.lit(0.0))))
+        .drop("_status", "_owner", "_paying", "_price")
+    )
+
+
+
 def check_requests(
     requests: DataFrame, users: DataFrame, shows: DataFrame, show_seats: DataFrame, max_seats: int = V.MAX_SEATS_PER_REQUEST
 ) -> DataFrame:
     """Every booking request with `accepted` and the first reason against it.
 
-    Requests that are fine on their own but want the same seat are served in
-    order of time, exactly as if they came one after the other.
+    Requests for a show are served in order of time (then of id), exactly as if they came one after the other: a seat
+    is reserved once an earlier request got it, and a show is full once all its open seats are given away.
     """
     asked_shows = requests.select("show_id").distinct()
     show_seats = show_seats.join(asked_shows, "show_id", "left_semi")
     open_seats = show_seats.groupBy("show_id").agg(F.count_if(F.col("status") == "AVAILABLE").alias("_open"))
-    wanted = requests.select("request_id", "show_id", F.explode(F.array_distinct("seat_ids")).alias("seat_id"))
+    wanted = requests.select(
+        "request_id", "requested_at", "show_id", F.explode(F.array_distinct("seat_ids")).alias("seat_id")
+    )
     problem = F.when(F.col("status").isNull(), F.concat(F.lit(V.SEAT_NOT_FOUND), "seat_id")).when(
         F.col("status") != "AVAILABLE", F.format_string(V.SEAT_RESERVED, "seat_id")
     )
@@ -101,56 +129,74 @@ def check_requests(
         .join(seat_problems, "request_id", "left")
         .select(
             *[F.col(c) for c in requests.columns],
+            "_open",
+            "_seat",
             F.when(F.size("seat_ids") > max_seats, V.TOO_MANY_SEATS)
             .when(F.col("_user").isNull(), V.USER_NOT_FOUND)
             .when(F.col("_user") == "BLACKLISTED", V.NOT_ALLOWED)
             .when(F.col("_show").isNull(), V.SHOW_NOT_FOUND)
             .when(F.coalesce("_open", F.lit(0)) == 0, V.SHOW_FULL)
-            .otherwise(F.col("_seat.text"))
             .alias("_reason"),
         )
     )
-    outrun = _outrun(judged.filter(F.col("_reason").isNull()))
+    served = judged.filter(F.col("_reason").isNull())
+    wants = served.select(
+        "request_id", "requested_at", "show_id", "_open", "_seat", F.explode(F.array_distinct("seat_ids")).alias("seat_id")
+    )
+    given = _given(wants.filter(F.col("_seat").isNull()).drop("_seat"))
+    turn = F.struct("requested_at", "request_id")
+    # an open seat is given once, so the show is full from its last one on
+    filled = (
+        given.groupBy("show_id")
+        .agg(F.count(F.lit(1)).alias("_n"), F.max(turn).alias("_filled"), F.max("_open").alias("_open"))
+        .filter("_n = _open")
+        .select("show_id", "_filled")
+    )
+    reserved = F.struct("seat_id", F.format_string(V.SEAT_RESERVED, "seat_id").alias("text"))
+    taken = (
+        wants.join(given.select("show_id", "seat_id", turn.alias("_by")), ["show_id", "seat_id"])
+        .filter(F.col("_by") < turn)
+        .groupBy("request_id")
+        .agg(F.min(reserved).alias("_taken"))
+    )
+    full = F.coalesce(F.col("_filled") < turn, F.lit(False))
+    reason = F.coalesce("_reason", F.when(full, V.SHOW_FULL), F.least("_seat", "_taken")["text"])
     return (
-        judged.join(outrun, "request_id", "left")
-        .withColumn("reason", F.coalesce("_reason", F.format_string(V.SEAT_RESERVED, "_taken")))
-        .withColumn("reason", F.when(F.col("_reason").isNull() & F.col("_taken").isNull(), None).otherwise(F.col("reason")))
+        judged.join(filled, "show_id", "left")
+        .join(taken, "request_id", "left")
+        .withColumn("reason", reason)
         .withColumn("accepted", F.col("reason").isNull())
-        .drop("_reason", "_taken")
+        .drop("_reason", "_open", "_seat", "_taken", "_filled")
     )
 
 
-def _outrun(valid: DataFrame) -> DataFrame:
-    """(request_id, _taken): valid requests that lose a seat to an earlier accepted one.
+def _given(wants: DataFrame) -> DataFrame:
+    """The rows of `wants`, one per request and seat, of the requests that get all their seats.
 
     A request that is first for all of its seats is accepted and those that want
     a seat of it lose; losers give their other seats free, so the rest is decided
-    again.  Every round decides at least the earliest request; only requests with
-    a contested seat take part.
+    again.  Every round decides at least the earliest request of each show, and is
+    written once; only requests with a contested seat take part.
     """
-    wants = valid.select(
-        "request_id", "requested_at", F.explode(F.array_distinct("seat_ids")).alias("seat_id")
-    )
-    contested = wants.groupBy("seat_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("seat_id")
-    rivals = wants.join(contested, "seat_id", "left_semi").select("request_id").distinct()
+    seat = ["show_id", "seat_id"]
+    contested = wants.groupBy(*seat).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*seat)
+    rivals = materialize(wants.join(contested, seat, "left_semi").select("request_id").distinct())
+    given = wants.join(rivals, "request_id", "left_anti")
     left = materialize(wants.join(rivals, "request_id", "left_semi"))
-    lost = left.select("request_id", F.col("seat_id").alias("_taken")).limit(0)
     while not left.isEmpty():
-        first = left.groupBy("seat_id").agg(F.min(F.struct("requested_at", "request_id"))["request_id"].alias("_first"))
-        winners = (
-            left.join(first, "seat_id")
-            .groupBy("request_id")
-            .agg(F.bool_and(F.col("_first") == F.col("request_id")).alias("_wins"))
-            .filter("_wins")
-            .select("request_id")
+        first = left.groupBy(*seat).agg(F.min(F.struct("requested_at", "request_id"))["request_id"].alias("_first"))
+        placed = left.join(first, seat)
+        wins = placed.groupBy("request_id").agg(F.bool_and(F.col("_first") == F.col("request_id")).alias("_wins"))
+        # a seat is gone if the first for it is accepted
+        gone = placed.join(wins.filter("_wins").select(F.col("request_id").alias("_first"), "_wins"), "_first", "left")
+        state = gone.groupBy("request_id").agg(
+            F.bool_and(F.col("_first") == F.col("request_id")).alias("_won"),
+            F.bool_or(F.coalesce("_wins", F.lit(False))).alias("_decided"),
         )
-        won = materialize(left.join(winners, "request_id", "left_semi"))
-        others = left.join(won.select("request_id").distinct(), "request_id", "left_anti")
-        losers = others.join(won.select("seat_id"), "seat_id", "left_semi").groupBy("request_id").agg(F.min("seat_id").alias("_taken"))
-        losers = materialize(losers)
-        lost = lost.unionByName(losers)
-        left = materialize(others.join(losers, "request_id", "left_anti"))
-    return lost
+        round_ = materialize(left.join(state, "request_id"))
+        given = given.unionByName(round_.filter("_won").drop("_won", "_decided"))
+        left = round_.filter("NOT _decided").drop("_won", "_decided")
+    return given
 
 
 def transitions(requests: DataFrame, bookings: DataFrame, payments: DataFrame) -> DataFrame:

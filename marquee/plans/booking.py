@@ -124,42 +124,68 @@ def _payable(v: Views) -> DataFrame:
     return B.payable(v.bookings, v.booking_seats, v.payments).select("booking_id", "user_id", "amount")
 
 
+@plan(
+    "payment_requests_checked",
+    with_views(
+        """SELECT r.request_id, r.booking_id, r.username, j.reason IS NULL AS accepted, j.reason,
+             CASE WHEN j.reason IS NULL THEN coalesce(p.price, 0) END AS amount
+           FROM payment_requests r JOIN judged j USING (request_id) LEFT JOIN prices p ON p.booking_id = r.booking_id""",
+        "payment_requests",
+        "bookings",
+        "users",
+        "prices",
+        "payments",
+        judged="""SELECT r.request_id, CASE WHEN b.booking_id IS NULL THEN 'Ticket ID ' || r.booking_id || ' is not found'
+            WHEN b.status <> 'PENDING' THEN 'This ticket have been already paid or canceled before.'
+            WHEN r.booking_id IN (SELECT booking_id FROM payments) THEN 'This ticket have been already pending for payment.'
+            WHEN u.username IS DISTINCT FROM r.username THEN 'Ticket ID ' || r.booking_id || ' is not found' END AS reason
+            FROM payment_requests r LEFT JOIN bookings b ON b.booking_id = r.booking_id
+            LEFT JOIN users u ON u.user_id = b.user_id""",
+    ),
+)
+def _payment_requests(v: Views) -> DataFrame:
+    checked = B.check_payment_requests(v.payment_requests, v.bookings, v.users, v.booking_seats, v.payments)
+    return checked.select("request_id", "booking_id", "username", "accepted", "reason", "amount")
+
+
 @plan(
     "booking_requests_checked",
     with_views(
-        "SELECT request_id, user_id, show_id, reason IS NULL AS accepted, reason FROM decided",
+        """SELECT request_id, user_id, show_id, coalesce(early, replay.reason) IS NULL AS accepted,
+             coalesce(early, replay.reason) AS reason FROM judged LEFT JOIN replay USING (request_id, show_id)""",
         "booking_requests",
         "users",
-        "show_seats",
-        wanted="SELECT DISTINCT request_id, requested_at, show_id, seat_id FROM booking_requests",
-        open_seats="SELECT show_id, count(*) FILTER (WHERE status = 'AVAILABLE') AS n FROM show_seats GROUP BY show_id",
-        seat_problems="""SELECT request_id, arg_min(problem, seat_id) AS problem FROM (
-            SELECT w.request_id, w.seat_id, CASE WHEN s.status IS NULL THEN 'Not found seat id: ' || w.seat_id
-              WHEN s.status <> 'AVAILABLE' THEN 'Seat ID ' || w.seat_id || ' is reserved' END AS problem
-            FROM wanted w LEFT JOIN show_seats s ON s.show_id = w.show_id AND s.seat_id = w.seat_id)
-            WHERE problem IS NOT NULL GROUP BY request_id""",
-        judged="""SELECT r.request_id, r.user_id, r.show_id, r.requested_at,
-            CASE WHEN r.n > 4 THEN 'You can not reverse more than 4 seats at the time.'
+        "shows",
+        "request_seats",
+        judged="""SELECT r.*, CASE WHEN r.n > 4 THEN 'You can not reverse more than 4 seats at the time.'
               WHEN u.status IS NULL THEN 'User is not found'
               WHEN u.status = 'BLACKLISTED' THEN 'You are not allowed to book ticket'
-              WHEN r.show_id NOT IN (SELECT show_id FROM shows) THEN 'Show is not found'
-              WHEN coalesce(o.n, 0) = 0 THEN 'Sorry, seats of this show are full. Please choose another show'
-              ELSE p.problem END AS own_reason
-            FROM (SELECT request_id, user_id, show_id, requested_at, count(*) AS n FROM booking_requests
-                  GROUP BY ALL) r
-            LEFT JOIN users u USING (user_id) LEFT JOIN open_seats o USING (show_id)
-            LEFT JOIN seat_problems p USING (request_id)""",
-        # In the given data no request loses to one that loses itself, so the earliest claim on a seat stands.
-        claims="""SELECT w.seat_id, w.request_id, row_number() OVER (PARTITION BY w.seat_id
-            ORDER BY w.requested_at, w.request_id) AS place FROM wanted w JOIN judged j USING (request_id)
-            WHERE j.own_reason IS NULL""",
-        decided="""SELECT j.*, coalesce(own_reason, (SELECT 'Seat ID ' || min(c.seat_id) || ' is reserved'
-            FROM claims c WHERE c.request_id = j.request_id AND c.place > 1)) AS reason FROM judged j""",
+              WHEN r.show_id NOT IN (SELECT show_id FROM shows) THEN 'Show is not found' END AS early
+            FROM (SELECT request_id, user_id, show_id, requested_at, count(*) AS n, list(DISTINCT seat_id) AS seats
+                  FROM booking_requests GROUP BY request_id, user_id, show_id, requested_at) r
+            LEFT JOIN users u USING (user_id)""",
+        queue="""SELECT request_id, show_id, seats, row_number() OVER (PARTITION BY show_id
+            ORDER BY requested_at, request_id) AS place FROM judged WHERE early IS NULL""",
+        stock="""SELECT show_id, list(seat_id) AS known, list(seat_id) FILTER (status = 'AVAILABLE') AS free
+            FROM request_seats WHERE show_id IN (SELECT show_id FROM queue) GROUP BY show_id""",
+        # One request of every show at a time, in order, on the seats that are still free.
+        replay="""SELECT q.show_id, CAST(0 AS BIGINT) AS place, CAST(NULL AS VARCHAR) AS request_id,
+              coalesce(free, CAST([] AS VARCHAR[])) AS free, coalesce(known, CAST([] AS VARCHAR[])) AS known,
+              CAST(NULL AS VARCHAR) AS reason
+            FROM (SELECT DISTINCT show_id FROM queue) q LEFT JOIN stock USING (show_id)
+            UNION ALL SELECT show_id, place, request_id,
+              CASE WHEN reason IS NULL THEN list_filter(free, lambda x: NOT list_contains(seats, x)) ELSE free END, known, reason
+            FROM (SELECT *, CASE WHEN len(free) = 0 THEN 'Sorry, seats of this show are full. Please choose another show'
+                WHEN bad IS NULL THEN NULL WHEN list_contains(known, bad) THEN 'Seat ID ' || bad || ' is reserved'
+                ELSE 'Not found seat id: ' || bad END AS reason
+              FROM (SELECT q.show_id, q.place, q.request_id, q.seats, r.free, r.known,
+                  list_min(list_filter(q.seats, lambda x: NOT list_contains(r.free, x))) AS bad
+                FROM replay r JOIN queue q ON q.show_id = r.show_id AND q.place = r.place + 1))""",
     ),
 )
 def _checked(v: Views) -> DataFrame:
     requests = materialize(v.booking_requests)  # derived here; requests proper are a stored table
-    checked = B.check_requests(requests, v.users, v.shows, v.show_seats)
+    checked = B.check_requests(requests, v.users, v.shows, v.request_seats)
     return checked.select("request_id", "user_id", "show_id", "accepted", "reason")
 
 

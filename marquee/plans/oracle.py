@@ -190,16 +190,29 @@ _VIEWS: dict[str, tuple[str, list[str]]] = {
                     AS user_id FROM bookings""",
         ["bookings"],
     ),
+    "busy_shows": ("SELECT hall_id, min(show_id) AS show_id FROM shows GROUP BY hall_id", ["shows"]),
+    "request_seats": (
+        """SELECT s.* REPLACE (CASE WHEN s.show_id IN (SELECT show_id FROM busy_shows) AND (row_index > 2 OR col_index > 1)
+                  THEN 'UNAVAILABLE' ELSE status END AS status) FROM show_seats s""",
+        ["show_seats", "busy_shows"],
+    ),
     "booking_requests": (
-        """SELECT b.booking_id AS request_id,
-                  CASE WHEN CAST(b.booking_id AS BIGINT) % 23 = 0 THEN 'nobody' ELSE user_id END AS user_id,
-                  CASE WHEN CAST(b.booking_id AS BIGINT) % 29 = 0 THEN 'no-show' ELSE show_id END AS show_id,
-                  create_at AS requested_at,
-                  CASE WHEN CAST(b.booking_id AS BIGINT) % 29 = 0 THEN 'no-show' ELSE show_id END || '#'
-                    || CAST(CASE WHEN l_linenumber = 7 THEN 9 ELSE (l_linenumber - 1) % 3 END AS VARCHAR)
-                    || '.' || CAST(l_partkey % 4 AS VARCHAR) AS seat_id
-           FROM bookings b JOIN lines ON CAST(l_orderkey AS VARCHAR) = b.booking_id""",
-        ["bookings", "lines"],
+        """SELECT request_id, CASE WHEN o % 23 = 0 THEN 'nobody' ELSE user_id END AS user_id, show_id, requested_at,
+                  show_id || '#' || CAST(CASE WHEN l_linenumber = 7 THEN 9 ELSE (l_linenumber - 1) % 3 END AS VARCHAR)
+                    || '.' || CAST(l_partkey % CASE WHEN o % 4 = 0 THEN 2 ELSE 4 END AS VARCHAR) AS seat_id
+           FROM (SELECT b.booking_id AS request_id, CAST(b.booking_id AS BIGINT) AS o, b.user_id, b.create_at AS requested_at,
+                        l_linenumber, l_partkey, CASE WHEN CAST(b.booking_id AS BIGINT) % 29 = 0 THEN 'no-show'
+                          WHEN CAST(b.booking_id AS BIGINT) % 4 = 0 THEN y.show_id ELSE b.show_id END AS show_id
+                 FROM bookings b JOIN lines ON CAST(l_orderkey AS VARCHAR) = b.booking_id
+                 JOIN shows s ON s.show_id = b.show_id JOIN busy_shows y ON y.hall_id = s.hall_id)""",
+        ["bookings", "lines", "shows", "busy_shows"],
+    ),
+    "payment_requests": (
+        """SELECT booking_id AS request_id, CASE WHEN CAST(booking_id AS BIGINT) % 31 = 0 THEN 'no-' || booking_id
+                    ELSE booking_id END AS booking_id,
+                  CASE WHEN CAST(booking_id AS BIGINT) % 5 = 0 THEN 'somebody' ELSE username END AS username
+           FROM bookings JOIN users USING (user_id)""",
+        ["bookings", "users"],
     ),
     "status_requests": (
         """SELECT booking_id, CASE WHEN CAST(booking_id AS BIGINT) % 10 = 0 THEN 'nobody' ELSE user_id END AS user_id,

@@ -333,18 +333,39 @@ class Views:
             "booking_id", F.when(o % 4 == 0, F.concat(F.lit("not-"), "user_id")).otherwise(F.col("user_id")).alias("user_id")
         )
 
+    @cached_property
+    def busy_shows(self) -> DataFrame:
+        """The first show of each hall, for which many ask."""
+        return self.shows.groupBy("hall_id").agg(F.min("show_id").alias("show_id"))
+
+    @cached_property
+    def request_seats(self) -> DataFrame:
+        """The seats that requests meet: a busy show has six at most, so some fill up."""
+        busy = F.broadcast(self.busy_shows.select("show_id", F.lit(True).alias("_busy")))  # one row per hall
+        closed = F.col("_busy") & ((F.col("row_index") > 2) | (F.col("col_index") > 1))
+        return (
+            self.show_seats.join(busy, "show_id", "left")
+            .withColumn("status", F.when(closed, "UNAVAILABLE").otherwise(F.col("status")))
+            .drop("_busy")
+        )
+
     @cached_property
     def booking_requests(self) -> DataFrame:
+        """One per booking; every fourth is for the busy show of its hall instead."""
         o = F.col("booking_id").cast("long")
         row = F.when(F.col("l_linenumber") == 7, 9).otherwise((F.col("l_linenumber") - 1) % 3)
+        col = F.col("l_partkey") % F.when(F.col("l_orderkey") % 4 == 0, 2).otherwise(4)
         places = self._lines.groupBy(_text("l_orderkey").alias("booking_id")).agg(
-            F.sort_array(
-                F.collect_list(F.concat(F.lit("#"), _text(row), F.lit("."), _text(F.col("l_partkey") % 4)))
-            ).alias("_p")
+            F.sort_array(F.collect_list(F.concat(F.lit("#"), _text(row), F.lit("."), _text(col)))).alias("_p")
         )
+        halls = self.shows.select("show_id", "hall_id").join(
+            F.broadcast(self.busy_shows.withColumnRenamed("show_id", "_busy")), "hall_id"
+        )
+        show = F.when(o % 29 == 0, "no-show").when(o % 4 == 0, F.col("_busy")).otherwise(F.col("show_id"))
         return (
             self.bookings.join(places, "booking_id")
-            .withColumn("show_id", F.when(o % 29 == 0, "no-show").otherwise(F.col("show_id")))
+            .join(halls.select("show_id", "_busy"), "show_id")
+            .withColumn("show_id", show)
             .select(
                 F.col("booking_id").alias("request_id"),
                 F.when(o % 23 == 0, "nobody").otherwise(F.col("user_id")).alias("user_id"),
@@ -354,6 +375,16 @@ class Views:
             )
         )
 
+    @cached_property
+    def payment_requests(self) -> DataFrame:
+        """A request for each booking, some by another user or for a booking that is not there."""
+        o = F.col("booking_id").cast("long")
+        return self.bookings.join(self.users.select("user_id", "username"), "user_id").select(
+            _text("booking_id").alias("request_id"),
+            F.when(o % 31 == 0, F.concat(F.lit("no-"), "booking_id")).otherwise(F.col("booking_id")).alias("booking_id"),
+            F.when(o % 5 == 0, "somebody").otherwise(F.col("username")).alias("username"),
+        )
+
     @cached_property
     def status_requests(self) -> DataFrame:
         o = F.col("booking_id").cast("long")

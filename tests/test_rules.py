@@ -255,12 +255,63 @@ def test_competing_requests_in_order_of_time(spark):
         ("a", "u", "s", 1, ["1", "2"]),
         ("b", "u", "s", 2, ["2", "3"]),  # loses 2 to a, so 3 stays free
         ("c", "u", "s", 3, ["3", "4"]),  # gets it
-        ("d", "u", "s", 4, ["4"]),  # loses 4 to c
+        ("d", "u", "s", 4, ["4"]),  # a, c and e have all five seats
         ("e", "u", "s", 0, ["5"]),
         ("z", "u", "s", 0, ["5"]),  # same instant: id decides
     ]
     assert check(spark, *chain) == {
-        "a": None, "b": "Seat ID 2 is reserved", "c": None, "d": "Seat ID 4 is reserved", "e": None, "z": "Seat ID 5 is reserved"
+        "a": None, "b": "Seat ID 2 is reserved", "c": None, "e": None, "z": "Seat ID 5 is reserved",
+        "d": "Sorry, seats of this show are full. Please choose another show",
+    }
+
+
+def test_requests_for_a_show_that_fills_up(spark):
+    full = "Sorry, seats of this show are full. Please choose another show"
+    got = check(
+        spark,
+        ("a", "u", "s", 1, ["1", "2", "3", "4"]),
+        ("b", "u", "s", 2, ["5", "9"]),  # no seat 9, so 5 stays free
+        ("c", "u", "s", 3, ["4", "5"]),
+        ("d", "u", "s", 4, ["5"]),  # the last one
+        ("e", "u", "s", 5, ["5"]),
+        ("f", "u", "s", 6, ["9"]),
+        ("g", "x", "s", 7, ["9"]),
+    )
+    assert got == {
+        "a": None, "b": "Not found seat id: 9", "c": "Seat ID 4 is reserved", "d": None, "e": full, "f": full,
+        "g": "User is not found",
+    }
+
+
+def test_the_first_reserved_seat_is_named(spark):
+    got = check(
+        spark,
+        ("a", "u", "s", 1, ["3"]),
+        ("b", "u", "s", 2, ["3", "4"]),
+        ("c", "u", "s", 3, ["1", "4"]),  # decided after d has lost to a
+        ("d", "u", "s", 4, ["1", "3"]),
+        ("e", "u", "s", 5, ["2", "4", "6"]),  # 6 is reserved from the start, 4 before it
+    )
+    assert got == {
+        "a": None, "b": "Seat ID 3 is reserved", "c": None, "d": "Seat ID 1 is reserved", "e": "Seat ID 4 is reserved",
+    }
+
+
+def test_payment_requests(spark):
+    bookings = spark.createDataFrame([(b, "u", "s", x, START) for b, x in
+        [("p", "PENDING"), ("q", "PENDING"), ("r", "PENDING"), ("b", "BOOKED"), ("c", "CANCLED")]], BOOKINGS)
+    users = spark.createDataFrame([("u", "ann")], "user_id string, username string")
+    seats = spark.createDataFrame([("p", 1.5), ("p", 2.0)], "booking_id string, price double")
+    payments = spark.createDataFrame([("1", "q", 1.0, "CANCLED", "t", START), ("2", "q", 1.0, "PENDING", "t", START)], PAYMENTS)
+    asked = [("p", "ann"), ("p", "bob"), ("p", None), ("q", "bob"), ("r", "ann"), ("b", "ann"), ("c", "bob"), ("z", "ann")]
+    requests = spark.createDataFrame(asked, "booking_id string, username string")
+    got = {(r.booking_id, r.username): (r.amount, r.reason)
+           for r in B.check_payment_requests(requests, bookings, users, seats, payments).collect()}
+    settled, missing = "This ticket have been already paid or canceled before.", "Ticket ID %s is not found"
+    assert got == {
+        ("p", "ann"): (3.5, None), ("p", "bob"): (None, missing % "p"), ("p", None): (None, missing % "p"),
+        ("q", "bob"): (None, "This ticket have been already pending for payment."), ("r", "ann"): (0.0, None),
+        ("b", "ann"): (None, settled), ("c", "bob"): (None, settled), ("z", "ann"): (None, missing % "z"),
     }
 
 
