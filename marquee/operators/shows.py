@@ -37,6 +37,15 @@ def with_capacity(halls: DataFrame) -> DataFrame:
     return halls.withColumn("capacity", capacity(F.col("total_row"), F.col("total_col")))
 
 
+def find_halls(halls: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """Every asked row with the hall of that `key` (`hall_id` or `name`), or the reason that there is none.
+
+    A name that several halls have gives each of them; null finds nothing.
+    """
+    found = asked.join(with_capacity(halls).withColumn("_found", F.lit(True)), key, "left")
+    return found.withColumn("reason", F.when(F.col("_found").isNull(), V.HALL_NOT_FOUND)).drop("_found")
+
+
 def inventory(shows: DataFrame, seats: DataFrame) -> DataFrame:
     """One available seat per show and seat of its hall."""
     return shows.select("show_id", "hall_id").join(

@@ -80,6 +80,11 @@ _VIEWS: dict[str, tuple[str, list[str]]] = {
                   CAST(4 + s_suppkey % 6 AS INTEGER) AS total_col FROM supplier""",
         [],
     ),
+    "hall_names_asked": (
+        """SELECT 'ask-' || CAST(hall_id AS VARCHAR) AS request_id,
+                  CASE WHEN hall_id % 7 = 0 THEN upper(name) ELSE name END AS name FROM halls""",
+        ["halls"],
+    ),
     "hall_changes": (
         """SELECT hall_id, name || '+' AS new_name, CAST(total_row + hall_id % 2 AS INTEGER) AS new_row,
                   CAST(total_col + hall_id % 3 AS INTEGER) AS new_col FROM halls""",

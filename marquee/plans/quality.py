@@ -62,23 +62,32 @@ def _duplicates(v: Views) -> DataFrame:
         """SELECT 'comment' AS kind, request_id, concat_ws(', ', CASE WHEN movie_id IS NULL THEN 'movie_id' END,
              CASE WHEN trim(comment) = '' THEN 'comment' END) AS missing FROM comment_requests
              WHERE movie_id IS NULL OR trim(comment) = ''
-           UNION ALL SELECT 'show', request_id, 'start_text' FROM blank_starts WHERE start_text IS NULL""",
+           UNION ALL SELECT 'show', request_id, 'start_text' FROM blank_starts WHERE start_text IS NULL
+           UNION ALL SELECT 'booking', request_id, CASE WHEN seatless AND showless THEN 'seat_ids, show_id'
+             WHEN seatless THEN 'seat_ids' ELSE 'show_id' END FROM bare_bookings WHERE seatless OR showless""",
         "comment_requests",
         "show_requests",
+        "booking_requests",
+        bare_bookings="""SELECT DISTINCT request_id, CAST(request_id AS BIGINT) % 37 = 0 AS seatless,
+            show_id = 'no-show' AS showless FROM booking_requests""",
         blank_starts="SELECT request_id, nullif(start_text, 'x') AS start_text FROM show_requests",
     ),
 )
 def _missing(v: Views) -> DataFrame:
     shows = v.show_requests.withColumn("start_text", F.nullif("start_text", F.lit("x")))
+    unnamed = F.when(F.col("show_id") == "no-show", " ").otherwise(F.col("show_id"))
+    seats = F.when(F.col("request_id").cast("long") % 37 != 0, F.col("seat_ids"))
+    bookings = v.booking_requests.withColumns({"show_id": unnamed, "seat_ids": seats})
     found = {
         "comment": Q.missing_fields(v.comment_requests, ["movie_id", "comment"]),
         "show": Q.missing_fields(shows, ["hall_id", "movie_id", "start_text"]),
+        "booking": Q.missing_fields(bookings, ["seat_ids", "show_id"]),
     }
-    comment, show = (
+    comment, show, booking = (
         df.select(F.lit(kind).alias("kind"), "request_id", F.array_join("missing", ", ").alias("missing"))
         for kind, df in found.items()
     )
-    return comment.unionByName(show)
+    return comment.unionByName(show).unionByName(booking)
 
 
 # The password rule needs look-ahead, which the oracle's patterns lack: one test per part.

@@ -53,6 +53,29 @@ def _halls(v: Views) -> DataFrame:
     return S.with_capacity(v.halls)
 
 
+def _found_sql(asked: str, key: str) -> str:
+    return with_views(
+        f"SELECT a.request_id, a.{key}, {'h.name' if key == 'hall_id' else 'h.hall_id'}, h.total_row, h.total_col, "
+        "h.total_row * h.total_col AS capacity, CASE WHEN h.hall_id IS NULL THEN 'Hall is not found' END AS reason "
+        f"FROM {asked} a LEFT JOIN halls h ON h.{key} = a.{key}",
+        "halls",
+        asked,
+    )
+
+
+_FOUND = ["request_id", "hall_id", "name", "total_row", "total_col", "capacity", "reason"]
+
+
+@plan("halls_by_id", _found_sql("show_requests", "hall_id"))
+def _halls_by_id(v: Views) -> DataFrame:
+    return S.find_halls(v.halls, v.show_requests.select("request_id", "hall_id"), "hall_id").select(*_FOUND)
+
+
+@plan("halls_by_name", _found_sql("hall_names_asked", "name"))
+def _halls_by_name(v: Views) -> DataFrame:
+    return S.find_halls(v.halls, v.hall_names_asked, "name").select(*_FOUND)
+
+
 @plan("hall_seat_grid", with_views("SELECT * FROM grid", "hall_seats", grid="""SELECT hall_id, CAST(row_index AS INTEGER)
       AS row_index, CAST(col_index AS INTEGER) AS col_index, seat_type, status, price, seat_name FROM hall_seats"""))
 def _grid(v: Views) -> DataFrame:

@@ -136,6 +136,13 @@ class Views:
             (4 + s % 6).cast("int").alias("total_col"),
         )
 
+    @cached_property
+    def hall_names_asked(self) -> DataFrame:
+        return self.halls.select(
+            F.concat(F.lit("ask-"), _text("hall_id")).alias("request_id"),
+            F.when(F.col("hall_id") % 7 == 0, F.upper("name")).otherwise(F.col("name")).alias("name"),
+        )
+
     @cached_property
     def hall_changes(self) -> DataFrame:
         h = F.col("hall_id")

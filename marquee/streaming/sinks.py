@@ -18,7 +18,12 @@ def upsert_by_date(spark: SparkSession, path: str, keys: list[str], schema: str)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         new = materialize(batch)
+        low, high = new.agg(F.min("date"), F.max("date")).first()
+        if low is None and new.isEmpty():
+            return
         stored = batch.sparkSession.read.schema(schema).parquet(path)
+        # literals, so that partitions outside the batch's dates are not even listed for reading
+        stored = stored.filter(F.col("date").between(F.lit(low), F.lit(high)))
         kept = stored.join(F.broadcast(new.select("date").distinct()), "date", "left_semi").join(new, keys, "left_anti")
         merged = materialize(new.unionByName(kept))
         merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)

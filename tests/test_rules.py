@@ -265,6 +265,16 @@ def test_competing_requests_in_order_of_time(spark):
     }
 
 
+def test_find_halls(spark):
+    halls = spark.createDataFrame([(1, "A", 5, 6), (2, "B", 7, 8)], "hall_id long, name string, total_row int, total_col int")
+    by_id = S.find_halls(halls, spark.createDataFrame([(1,), (3,), (None,)], "hall_id long"), "hall_id")
+    assert {(r.hall_id, r.name, r.capacity, r.reason) for r in by_id.collect()} == {
+        (1, "A", 30, None), (3, None, None, "Hall is not found"), (None, None, None, "Hall is not found"),
+    }
+    by_name = S.find_halls(halls, spark.createDataFrame([("B",), ("b",)], "name string"), "name")
+    assert {(r.name, r.hall_id, r.reason) for r in by_name.collect()} == {("B", 2, None), ("b", None, "Hall is not found")}
+
+
 def test_requests_for_a_show_that_fills_up(spark):
     full = "Sorry, seats of this show are full. Please choose another show"
     got = check(

@@ -140,6 +140,19 @@ def test_sinks_survive_a_replayed_batch(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
 
 
+def test_upsert_opens_only_the_dates_of_the_batch(spark, tmp_path):
+    schema = "date date, hour int, revenue double"
+    path = tmp_path / "table"
+    write = sinks.upsert_by_date(spark, str(path), ["date", "hour"], schema)
+    (path / "date=2020-01-01").mkdir()
+    (path / "date=2020-01-01" / "part-0.parquet").write_bytes(b"not to be read")
+    one = spark.sql("SELECT to_date('2024-01-01') AS date, 1 AS hour, 5D AS revenue")
+    for batch_id, batch in enumerate([one, one.limit(0), one.withColumn("hour", F.lit(2))]):
+        write(batch, batch_id)
+    stored = spark.read.schema(schema).parquet(str(path / "date=2024-01-01"))
+    assert sorted((r.hour, r.revenue) for r in stored.drop("date").collect()) == [(1, 5.0), (2, 5.0)]
+
+
 def test_missing_address_and_amount_across_batches(spark, tmp_path):
     """A null address or amount has the effect it has in batch, wherever a micro-batch ends."""
     from datetime import datetime, timedelta
