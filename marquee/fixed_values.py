@@ -64,6 +64,7 @@ BAD_SEAT_TYPE = "Invalid seat type. It must be REGULAR or PREMIUM"
 BAD_SEAT_STATUS = "Status is not found. It must be AVAILABLE or UNAVAILABLE"
 NOT_OWNER = "This comment is not belonged to you"
 BAD_RATING = "Rating number must be in range 0 and 5"
+HALL_BAD_NAME = "Illeagal charaters in name"
 HALL_EXISTS = "This hall is existed"
 HALL_TOO_SMALL = "Row/Column number must be greater than 5"
 

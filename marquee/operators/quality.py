@@ -17,12 +17,14 @@ def invalid_ratings(comments: DataFrame) -> DataFrame:
 
 
 def invalid_halls(halls: DataFrame) -> DataFrame:
-    """Halls with a name another has too, or fewer than MIN_HALL_SIDE rows or columns."""
+    """Halls whose name looks like SQL or is another's too, or with fewer than MIN_HALL_SIDE rows or columns."""
     names = halls.groupBy("name").agg(F.count(F.lit(1)).alias("_n"))
-    reason = F.when(F.col("_n") > 1, V.HALL_EXISTS).when(
-        F.least("total_row", "total_col") < V.MIN_HALL_SIDE, V.HALL_TOO_SMALL
+    reason = (
+        F.when(F.col("name").rlike(V.SQL_PATTERN), V.HALL_BAD_NAME)
+        .when(F.col("_n") > 1, V.HALL_EXISTS)
+        .when(F.least("total_row", "total_col") < V.MIN_HALL_SIDE, V.HALL_TOO_SMALL)
     )
-    return halls.join(names, "name").withColumn("reason", reason).drop("_n").filter("reason IS NOT NULL")
+    return halls.join(names, "name", "left").withColumn("reason", reason).drop("_n").filter("reason IS NOT NULL")
 
 
 def duplicate_keys(keys: dict[str, tuple[DataFrame, str]]) -> DataFrame:

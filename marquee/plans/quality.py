@@ -20,13 +20,21 @@ def _ratings(v: Views) -> DataFrame:
 @plan(
     "invalid_halls",
     with_views(
-        "SELECT hall_id, name, total_row, total_col, 'Row/Column number must be greater than 5' AS reason FROM halls "
-        "WHERE total_row < 5 OR total_col < 5",
+        r"""SELECT * FROM (SELECT hall_id, name, total_row, total_col, CASE WHEN regexp_matches(name,
+             '(?i)(^|\W)(select|drop|alter|insert|update|delete)(\W|\z)|(^|\W)\d+\W+(union|select|table|information_schema)(\W|\z)')
+               THEN 'Illeagal charaters in name'
+             WHEN name IN (SELECT name FROM proposed GROUP BY name HAVING count(*) > 1) THEN 'This hall is existed'
+             WHEN total_row < 5 OR total_col < 5 THEN 'Row/Column number must be greater than 5' END AS reason
+           FROM proposed) WHERE reason IS NOT NULL""",
         "halls",
+        proposed="""SELECT * REPLACE (CASE WHEN hall_id % 9 = 4 THEN name || ' Drop' WHEN hall_id % 9 = 2 THEN 'Main hall'
+            ELSE name END AS name) FROM halls""",
     ),
 )
 def _halls(v: Views) -> DataFrame:
-    return Q.invalid_halls(v.halls)
+    kind = F.col("hall_id") % 9
+    name = F.when(kind == 4, F.concat("name", F.lit(" Drop"))).when(kind == 2, "Main hall").otherwise(F.col("name"))
+    return Q.invalid_halls(v.halls.withColumn("name", name)).select("hall_id", "name", "total_row", "total_col", "reason")
 
 
 _UNIQUE = [

@@ -440,11 +440,14 @@ def test_halls_and_seats(spark):
 
 def test_hall_checks(spark):
     halls = spark.createDataFrame(
-        [("1", "A", 5, 5), ("2", "B", 4, 9), ("3", "C", 9, 9), ("4", "C", 9, 9)],
+        [("1", "A", 5, 5), ("2", "B", 4, 9), ("3", "C", 9, 9), ("4", "C", 9, 9), ("5", "x; drop", 4, 9), ("6", None, 9, 4)],
         "hall_id string, name string, total_row int, total_col int",
     )
     got = {r.hall_id: r.reason for r in Q.invalid_halls(halls).collect()}
-    assert got == {"2": "Row/Column number must be greater than 5", "3": "This hall is existed", "4": "This hall is existed"}
+    small = "Row/Column number must be greater than 5"
+    assert got == {
+        "2": small, "3": "This hall is existed", "4": "This hall is existed", "5": "Illeagal charaters in name", "6": small,
+    }
 
 
 def test_search(spark):
