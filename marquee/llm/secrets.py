@@ -18,6 +18,20 @@ RUN = f"[A-Za-z0-9+/_-]{{{LEAST},}}"
 DICTIONARY = 400
 LABELLED = 4_000
 NAMES = "secret|token|passw|passwd|pwd|api|key|auth|credential|private"
+#: A secret-like name; it, an = or :, and the value given to it, which is a candidate from so many characters on.
+VALUE_LEAST = 6
+NAMED = f"(?i:{NAMES})[A-Za-z0-9_-]{{0,64}}[\\\\\"'`\\])]{{0,4}} ?"
+SIGN = "[=:]{1,2}>? ?"
+#: In quotes (group 2), in quotes that the word does not close (4), or bare up to a closing sign or the next name (5).
+ASSIGNED = (
+    f"(?s){NAMED}{SIGN}(?:"
+    r"\\?([\"'`])(.+?)\\?\1(?![A-Za-z0-9])"
+    r"|\\?([\"'`])(\S+)$"
+    r"|(?![{\[(]*\\?[\"'`])(\S+?)(?=[\"'`\\]*[&;,][A-Za-z_][A-Za-z0-9_.-]{0,64}[\"'`]?[=:]|\\?[\"'`][>)\]}]|\s|$))"
+)
+#: What a value may follow that stands at the start of its word: a name with a sign, or a name alone before a sign.
+LEAD_IN = f"{NAMED}(?:{SIGN})?$"
+PLAIN = r"^[A-Za-z]{1,12}[.,]?$"
 TRIAL_PATHS = "test|example|sample|mock|fixture|demo|docs?/"
 #: Neighbouring kinds of characters, counted in a candidate.
 STEPS = {
@@ -39,24 +53,72 @@ def dictionary(docs: DataFrame, text_column: str = "text", top: int = DICTIONARY
     return [r.w for r in counted.orderBy(F.desc("n"), "w").limit(top).collect()]
 
 
+def assigned_values(lead_in: Column, text: Column, rest: Column) -> Column:
+    """The values given to secret-like names in a word; `rest` closes one whose quotes go on in later words."""
+
+    def values(c: Column) -> Column:
+        each = lambda group: F.regexp_extract_all(c, F.lit(ASSIGNED), group)
+        some = lambda group: F.filter(each(F.lit(group)), lambda v: v != "")
+        # closing signs are no part of a bare value; brackets are where it opens one itself
+        ends = lambda v: F.regexp_replace(v, F.when(v.rlike(r"[(\[{<]"), "[,;.\"'`\\\\]+$").otherwise("[,;.)\\]}>\"'`\\\\]+$"), F.lit(""))
+        return F.concat(
+            some(2),
+            F.transform(some(4), lambda v: F.when(rest.isNull(), ends(v)).otherwise(F.concat_ws(" ", v, rest))),
+            F.transform(some(5), ends),
+        )
+
+    inside = F.when(text.rlike("[=:]"), values(text)).otherwise(F.array().cast("array<string>"))
+    both = F.when(lead_in == "", inside).otherwise(F.concat(values(F.concat(lead_in, text)), inside))
+    return F.array_distinct(F.filter(both, lambda v: F.length(v) >= VALUE_LEAST))
+
+
 def candidates(docs: DataFrame, id_column: str, text_column: str, path_column: str | None) -> DataFrame:
-    """(id, path, word, finding, lead, before, after): runs of at least LEAST characters, where they stand and between what."""
+    """(id, path, word, finding, lead, before, after, follow): candidates, where they stand and between what.
+
+    They are the runs of at least LEAST characters, and the whole values given to secret-like names (`password=...`,
+    `"api_key": "..."`), of VALUE_LEAST characters or more and whatever signs; a value that is such a run counts once.
+    """
     path = F.col(path_column).cast("string") if path_column else F.lit(None).cast("string")
     read = docs.select(F.col(id_column).alias("id"), path.alias("path"), words(F.col(text_column)).alias("ws"))
     word = lambda i: F.get(F.col("ws"), i)
-    places = F.filter(F.sequence(F.lit(0), F.size("ws") - 1), lambda i: F.octet_length(word(i)) >= LEAST)
+    signed = lambda i: word(i).rlike("[=:]") | F.coalesce(word(i - 1).rlike("[=:]>?$"), F.lit(False))
+    places = F.filter(
+        F.sequence(F.lit(0), F.size("ws") - 1), lambda i: (F.octet_length(word(i)) >= LEAST) | signed(i)
+    )
+
+    def rest(i: Column) -> Column:
+        """The later words up to the quote that closes one opened in this word; null where there is none."""
+        quote = F.regexp_extract(word(i), "(?:^|[=:]>?)[{\\[(\\\\]*([\"'`])[^\"'`]*$", 1)
+        later = F.concat_ws(" ", F.slice("ws", i + 2, F.size("ws")))
+        near = F.concat_ws(" ", word(i - 2), word(i - 1), word(i)).rlike(f"(?i:{NAMES})")
+        return F.when(signed(i) & near & (quote != ""), F.when(F.contains(later, quote), F.get(F.split(later, quote, 2), 0)))
+
     found = F.transform(
         places,
         lambda i: F.struct(
             i.alias("word"), word(i).alias("text"), F.concat_ws(" ", word(i - 2), word(i - 1)).alias("before"),
-            word(i + 1).alias("after"),
+            word(i + 1).alias("after"), rest(i).alias("rest"),
         ),
     )
     each = read.where(F.size("ws") > 0).select("id", "path", F.explode(found).alias("f")).select("id", "path", "f.*")
-    runs = each.select("*", F.explode(F.regexp_extract_all("text", F.lit(RUN), 0)).alias("finding"))
-    lead = F.expr("substr(text, 1, instr(text, finding) - 1)")
-    follow = F.expr("substr(text, instr(text, finding) + length(finding), 1)")
-    return runs.select("id", "path", "word", "finding", lead.alias("lead"), "before", "after", follow.alias("follow"))
+    each = each.withColumn("lead_in", F.regexp_extract(F.concat("before", F.lit(" ")), LEAD_IN, 0))
+    runs = F.regexp_extract_all("text", F.lit(RUN), 0)
+    values = assigned_values(F.col("lead_in"), F.col("text"), F.col("rest"))
+    told = each.select(
+        "*", F.transform(runs, lambda v: F.struct(v.alias("finding"), F.lit(False).alias("value"))).alias("runs"),
+        F.transform(F.array_except(values, runs), lambda v: F.struct(v.alias("finding"), F.lit(True).alias("value"))).alias("values"),
+    )
+    one = told.select("*", F.explode(F.concat("runs", "values")).alias("c")).select("*", "c.*").drop("c", "runs", "values")
+    over = F.col("value") & F.col("rest").isNotNull() & ~F.contains("text", "finding")
+    first = F.when(over, F.substring_index("finding", " ", 1)).otherwise(F.col("finding"))
+    # a value stands behind the first sign of its word, unless the sign is in a word before
+    skip = F.when(F.col("value") & ~F.col("lead_in").rlike("[=:]"), F.length(F.regexp_extract("text", "^[^=:]*", 0))).otherwise(0)
+    placed = one.withColumn("first", first).withColumn("skip", skip).withColumn("at", F.expr("locate(first, text, skip + 1)"))
+    return placed.select(
+        "id", "path", "word", "finding", F.expr("substr(text, 1, at - 1)").alias("lead"), "before",
+        F.when(~over, F.col("after")).alias("after"),
+        F.when(over, F.lit('"')).otherwise(F.expr("substr(text, at + length(first), 1)")).alias("follow"),
+    )
 
 
 def with_features(found: DataFrame, known: list[str]) -> DataFrame:
@@ -79,9 +141,9 @@ def with_features(found: DataFrame, known: list[str]) -> DataFrame:
         "longest_letters": F.coalesce(F.array_max(letters), F.lit(0)) / n,
         **{name: share(pattern) for name, pattern in STEPS.items()},
         "named": flag(near.rlike(NAMES)),
-        "assigned": flag(F.concat_ws("", "before", "lead").rlike("[=:][\"' ]*$")),
+        "assigned": flag(F.concat_ws("", "before", "lead").rlike("[=:]>?[\"'` ]*$")),
         "quoted": flag(F.col("follow").isin('"', "'")),
-        "next_plain": flag(F.col("after").rlike(r"^[A-Za-z]{1,12}[.,]?$")),
+        "next_plain": flag(F.col("after").rlike(PLAIN)),
         "trial_path": flag(F.lower("path").rlike(TRIAL_PATHS)),
         "path_depth": F.coalesce(F.regexp_count("path", F.lit("/")), F.lit(0)).cast("double"),
     }
@@ -92,7 +154,8 @@ def rule_labels(found: DataFrame) -> DataFrame:
     """Adds `label`: 1 for strings that are secrets by their form and place, 0 for those that cannot be, else null.
 
     Secrets are access key ids of a fixed form and random strings given to a name like `token` or `password`. A number,
-    and letters without a digit that no such name precedes, are none. The forest sees neither these rules nor the text.
+    and letters without a digit that no such name precedes, are none; nor is a plain word in running text after such a
+    name (`key: winter came`). The forest sees neither these rules nor the text.
     """
     v = F.col("finding")
     named = F.lower(F.concat_ws(" ", "before", "lead")).rlike(f"({NAMES})[a-z_]*[\"' ]*[=:]")
@@ -102,7 +165,8 @@ def rule_labels(found: DataFrame) -> DataFrame:
         F.when(v.rlike("^AKIA[0-9A-Z]{16}$") & v.rlike("[0-9]"), 1.0)
         .when(named & mixed, 1.0)
         .when(v.rlike("^[0-9]+$") & ~named, 0.0)
-        .when(v.rlike("^[A-Za-z]+$") & ~named, 0.0),
+        .when(v.rlike("^[A-Za-z]+$") & ~named, 0.0)
+        .when(v.rlike("^[A-Za-z][a-z]+$") & (F.length(v) < LEAST) & F.col("after").rlike(PLAIN), 0.0),
     )
 
 

@@ -167,6 +167,30 @@ def test_secrets(spark, odd):
     assert got == {(8, False), (20, True)}
 
 
+def test_secrets_short_and_mixed(spark):
+    values = ["hunter2Secret", "Ab3dE6gH9jK2", "P@ssw0rd!2024xyz", "k9.8Qz!7rT#5w", "s3cr#t", "aZ9/b+c=d$e~f%10^", "zß9-Ünï!code"]
+    forms = [
+        "password={}", "pwd=  {}", "secret: {}", "the api_key = {} there", 'DB_TOKEN="{}"', "auth-key : '{}',", '{{"a":1,"password":"{}","b":2}}',
+        "private_key => {}", "call(passwd='{}')", "http://h/?user=a&token={}&page=2", "see `credential={}`, then", "Password:\n{}\nnext",
+    ]
+    made = [(f, v) for f in forms for v in values]
+    secret = [(i, f.format(v), "src") for i, (f, v) in enumerate(made)]
+    prose = [(1000 + i, f"the key: winter came over {w} and a mountain", "src") for i, w in enumerate(("internationalisation", "misunderstandings") * 40)]
+    other = [
+        (2000, 'password="correct horse battery" x', "src"), (2001, "pwd=short", "src"), (2002, "path: /a/b/c.d", "src"),
+        (2003, '{"auth":{"token":"q1!w2@"},"api_key":"e3#r4$t5"}', "src"),
+    ]
+    rows = spark.createDataFrame(secret + prose + other, "doc_id long, text string, source string")
+    got = secrets.scan(rows).collect()
+    found = {(r.doc_id, r.finding) for r in got}
+    assert {(i, v) for i, (_, v) in enumerate(made)} == {f for f in found if f[0] < 1000}
+    assert {(2000, "correct horse battery"), (2003, "q1!w2@"), (2003, "e3#r4$t5")} == {f for f in found if f[0] >= 2000}
+    assert {(r.doc_id, r.finding) for r in got if r.doc_id < 1000 and not r.is_secret} == set()
+    assert not any(r.is_secret for r in got if 1000 <= r.doc_id < 2000) and (1000, "winter") in found
+    words = {i: t.split() for i, t, _ in secret}
+    assert all(r.finding in words[r.doc_id][r.word] for r in got if r.doc_id < 1000)
+
+
 def test_warc(spark, tmp_path):
     pages = [(1, "http://A.Example.com:80/x?y#z", "same"), (2, None, "same"), (2, None, "same"), (3, "", None), (4, "nonsense", ""),
              (None, "http://b.example/", "same"), (5, "http://é.example/ü", "Ü" * 70_000)]
