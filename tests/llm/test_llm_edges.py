@@ -159,6 +159,12 @@ def test_personal_data(odd):
     assert pii.base_spans("a@b.c@d.e 1.2.3.256, 4111 1111 1111 1111, +1 (663) 555-6869") == [(0, 0, 5), (2, 21, 40), (3, 42, 59)]
 
 
+def test_personal_data_long_zeros():
+    zeros = "0" * 5_000
+    assert pii.base_spans(f"{zeros}.{zeros}.0.{zeros}1") == [(1, 0, 15_005)]
+    assert pii.base_spans(f"1.2.3.{zeros}256") == []
+
+
 def test_secrets(spark, odd):
     rows = odd.select("doc_id", "text", "source").unionByName(
         spark.createDataFrame([(20, 'token = "1eb9c654e721b4f812088970e66a6345cee33dd6" x', None)], "doc_id long, text string, source string")
