@@ -309,8 +309,9 @@ def all_spans(texts: list[str], model: Crf) -> list[tuple[list, list]]:
 
 
 def labelled_table(docs: DataFrame, id_column: str, text_column: str, rows: int = LABELLED_ROWS) -> DataFrame:
-    """(roll, words, labels): sequences of about `rows` rows, picked by hash, labelled by the fixed patterns."""
-    total = docs.count()
+    """(roll, words, labels): sequences of about `rows` rows with a digit or an @, picked by hash, labelled by the fixed patterns."""
+    telling = docs.where(F.col(text_column).rlike("[0-9@]"))
+    total = telling.count()
     roll = F.pmod(F.xxhash64(F.lit("labelled"), id_column, text_column), F.lit(1 << 30))
     share = min(1.0, rows / total) if total else 1.0
 
@@ -332,7 +333,7 @@ def labelled_table(docs: DataFrame, id_column: str, text_column: str, rows: int
                 names=["roll", "place", "words", "labels"],
             )
 
-    picked = docs.where(F.col(text_column).rlike("[0-9@]")).select(roll.alias("roll"), F.col(text_column).alias("t"))
+    picked = telling.select(roll.alias("roll"), F.col(text_column).alias("t"))
     picked = picked.where(F.col("roll") < share * float(1 << 30))
     return picked.mapInArrow(label, "roll long, place long, words array<string>, labels array<long>")
 

@@ -159,6 +159,14 @@ def test_personal_data(odd):
     assert pii.base_spans("a@b.c@d.e 1.2.3.256, 4111 1111 1111 1111, +1 (663) 555-6869") == [(0, 0, 5), (2, 21, 40), (3, 42, 59)]
 
 
+def test_personal_data_learns_from_rare_rows(spark):
+    texts = [(i, f"call me at +1 (663) 555-68{i % 90 + 10} soon" if i % 50 == 0 else "nothing to see") for i in range(1_000)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    assert pii.labelled_table(rows, "doc_id", "text", rows=50).count() == 20
+    some = pii.labelled_table(rows, "doc_id", "text", rows=10).count()
+    assert 1 <= some < 20
+
+
 def test_personal_data_long_zeros():
     zeros = "0" * 5_000
     assert pii.base_spans(f"{zeros}.{zeros}.0.{zeros}1") == [(1, 0, 15_005)]
