@@ -13,9 +13,10 @@ from pyspark.sql import types as T
 
 from marquee.llm.common import small_batches
 
-#: Letters of labelled text a language's automaton is built from, and the languages with most labelled text that count.
+#: Letters of labelled text a language's automaton is built from.
 LETTERS = 40_000
-MOST_LANGUAGES = 200
+#: What `normal_words` takes for a break between letters.
+BREAK = r"[^\p{L}\p{Nl}\p{No}]+"
 #: Words of a task whose phrase counts are remembered.
 REMEMBERED = 100_000
 UNKNOWN = "und"
@@ -122,22 +123,27 @@ def verdict(counts: np.ndarray, names: list[str]) -> tuple[str, float]:
 
 
 def training_rows(docs: DataFrame, id_column: str, text_column: str, lang_column: str, chosen: Column, letters: int) -> dict[str, str]:
-    """language -> labelled text of about `letters` code points: whole rows by the order of a hash, the last one cut.
+    """language -> labelled text of about `letters` code points: rows by the order of a hash, the last one cut.
 
-    Languages come in the order of how much labelled text they have, then by name.
-    Rows longer than that are not used. How large a share of a language's rows is read follows from its total, so that
-    about four times what is needed reaches the driver, whatever the size of the table.
+    Languages come in the order of how much labelled text they have, then by name. Of a longer row its first `letters`
+    letters are read. How large a share of a language's rows is read follows from its total, so that about four times
+    what is needed reaches the driver, whatever the size of the table; the first row by the hash is always among them.
     """
-    size = F.length(text_column)
-    rows = docs.where(F.col(lang_column).isNotNull() & chosen & (size > 0) & (size <= letters))
-    totals = rows.groupBy(F.col(lang_column).alias("lang")).agg(F.sum(size).alias("n"))
-    totals = totals.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    share = F.create_map(*[F.lit(x) for r in totals for x in (r.lang, min(1.0, 4 * letters / r.n))]) if totals else None
-    if share is None:
-        return {}
+    size, text, lang = F.length(text_column), F.col(text_column), F.col(lang_column)
     roll = F.pmod(F.xxhash64(F.lit("language"), id_column, text_column), F.lit(1 << 30))
-    picked = rows.where(roll < F.element_at(share, F.col(lang_column)) * float(1 << 30))
-    taken = picked.select(F.col(lang_column).alias("lang"), roll.alias("roll"), F.col(text_column).alias("text")).collect()
+    rows = docs.where(lang.isNotNull() & chosen & text.rlike(r"\p{L}"))
+    each = rows.select(lang.alias("lang"), roll.alias("roll"), size.alias("size"))
+    totals = each.groupBy("lang").agg(
+        F.sum("size").alias("n"), F.sum(F.least("size", F.lit(letters))).alias("usable"), F.min("roll").alias("first")
+    )
+    totals = totals.orderBy(F.desc("n"), "lang").collect()
+    if not totals:
+        return {}
+    bounds = [(r.lang, max(r.first + 1, int(min(1.0, 4 * letters / r.usable) * (1 << 30)))) for r in totals]
+    bounds = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, bound long"))
+    cut = F.when(size > letters, F.substring(F.regexp_replace(text, BREAK, " "), 1, letters)).otherwise(text)
+    picked = rows.select(lang.alias("lang"), roll.alias("roll"), text_column).join(bounds, "lang").where("roll < bound")
+    taken = picked.select("lang", "roll", cut.alias("text")).collect()
     texts: dict[str, str] = {}
     for r in sorted(taken, key=lambda r: (r.lang, r.roll, r.text)):
         so_far = texts.get(r.lang, "")
@@ -157,7 +163,7 @@ def identify(
     """(id, held_out, lang_pred, score), one row per row of `docs`; the column `carry`, if named, comes along.
 
     Rows with crc32(id as text) % 4 = 2 are held out: the automata are built from other rows with a text and a language
-    (a bounded sample, `letters` a language). Each word of a text, letters in lower case between two spaces, is parsed
+    (a bounded sample, `letters` a language, of every language that has such a row with a letter in it). Each word of a text, letters in lower case between two spaces, is parsed
     into the longest pieces that a language's text contains; the language with the fewest pieces in the whole text is
     the prediction, ties go to the language with more labelled text. The score is 1 minus its pieces over those of the next language; 1 if
     there is no other. `und` with score 0 is for a text that is null or has no letters, and for all where nothing is

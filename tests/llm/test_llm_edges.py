@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,6 +148,23 @@ def test_language(odd):
     assert left.columns == odd.columns and left.count() == len(ODD) - 5
 
 
+def test_language_long_rows_and_many_languages(spark):
+    learnt = [i for i in range(3_000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    names = [f"l{k:03}" for k in range(230)]
+    word = lambda k: "".join(chr(0x4E00 + 3 * k + j) for j in range(3))
+    rows = [(learnt[k], word(k) * 4, name) for k, name in enumerate(names)]
+    rows += [(learnt[300 + i], "12 34 " * 20 + "alpha beta " * 40, "long") for i in range(3)] + [(learnt[400], "0 1", "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.lang: r.lang_pred for r in language.identify(docs, letters=60, carry="lang").collect()}
+    assert got == {**{n: n for n in names}, "long": "long", "none": "und"}
+
+
+def test_language_first_row_is_read(spark):
+    learnt = [i for i in range(3_000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    docs = spark.createDataFrame([(i, "x" * 500 + str(i), f"l{i % 300}") for i in learnt], "doc_id long, text string, lang string")
+    assert len(language.training_rows(docs, "doc_id", "text", "lang", F.lit(True), 500)) == 300
+
+
 def test_automaton():
     a = language.SuffixAutomaton("banana")
     assert [a.phrases(w) for w in ("anan", "nab", "", "xx", "bananab")] == [1, 2, 0, 2, 2]
