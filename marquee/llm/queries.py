@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import decontaminate, exact_dedup, jaccard, language, line_dedup, mixing, pii, secrets, shards, warc
+from marquee.llm import (
+    decontaminate,
+    exact_dedup,
+    jaccard,
+    language,
+    line_dedup,
+    mixing,
+    pii,
+    repair,
+    secrets,
+    shards,
+    warc,
+    whitening,
+)
 from marquee.llm.common import shared_folder
 from marquee.session import tune
 
@@ -185,3 +198,92 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return warc.archive_round_trip(pages, shared_folder(pages, "warc"))
+
+
+#: The checksum in SQL: a byte at a time through the usual table, itself made of eight halvings per entry.
+CRC_TABLE = """SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1
+    THEN xor(c // 2, 3988292384) ELSE c // 2 END, n)) AS t"""
+CRC = """xor(list_reduce(list_transform(string_split({0}, ''), lambda c: ord(c)::BIGINT),
+    lambda c, b: xor(c // 256, t[xor(c & 255, b) + 1]), 4294967295::BIGINT), 4294967295)"""
+
+
+@query(
+    "op11_repair",
+    f"""
+    WITH RECURSIVE crc AS ({CRC_TABLE}),
+    named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                     coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+    hurt AS (SELECT named.*, {CRC.format("name")} % 20 AS f FROM named, crc),
+    kept AS (
+        SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role,
+               CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+        FROM hurt, (SELECT unnest([1, 2]) AS copy) WHERE f <> 0 AND (copy = 1 OR f = 3)),
+    placed AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i,
+               substr(role, 1, 1) AS c, trim(text, {BLANKS}) AS bare FROM kept),
+    seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+                    lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS two FROM placed),
+    judged AS (SELECT *, bare = '' AS blank, bare <> '' AND again AS dup,
+                      bare <> '' AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') AS cut FROM seen),
+    -- the first way in ASCII order of the least cost to each state: 0 start, 1 system, 2 user, 3 assistant
+    ways AS (
+        SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS q, 0::BIGINT AS cost, '' AS audit FROM judged
+        UNION ALL
+        SELECT conv_id, i, q, min(cost) AS cost, arg_min(audit, lpad(cost::VARCHAR, 9, '0') || audit) AS audit FROM (
+            SELECT w.conv_id, j.i, e.q, w.cost + e.cost AS cost, w.audit || e.edit AS audit
+            FROM (SELECT conv_id, i, q, cost, audit FROM ways
+                  UNION ALL SELECT conv_id, i, CASE q WHEN 2 THEN 3 ELSE 2 END, cost + 5, audit || 'I' FROM ways
+                  UNION ALL SELECT conv_id, i, CASE q WHEN 2 THEN 2 ELSE 3 END, cost + 10, audit || 'II' FROM ways) w
+            JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.i = w.i + 1,
+            LATERAL (
+                SELECT w.q AS q, 2 AS cost, 'D' AS edit
+                UNION ALL SELECT CASE w.q WHEN 2 THEN 3 ELSE 2 END, 1 + CASE WHEN cut THEN 5 ELSE 0 END, 'R'
+                WHERE NOT blank AND NOT dup
+                UNION ALL SELECT CASE c WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, CASE WHEN cut THEN 5 ELSE 0 END, 'K'
+                WHERE NOT blank AND NOT dup
+                  AND (c = 's' AND w.q = 0 OR c = 'u' AND w.q <> 2 OR c = 'a' AND w.q = 2)) e)
+        GROUP BY conv_id, i, q),
+    n AS (SELECT conv_id, max(i) AS n FROM judged GROUP BY conv_id),
+    ended AS (
+        SELECT ways.conv_id, q, cost + CASE q WHEN 1 THEN 10 WHEN 2 THEN 5 ELSE 0 END AS cost,
+               audit || CASE q WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END AS audit
+        FROM ways JOIN n ON n.conv_id IS NOT DISTINCT FROM ways.conv_id AND ways.i = n.n),
+    best AS (SELECT conv_id, min(cost) AS cost, arg_min(audit, lpad(cost::VARCHAR, 9, '0') || audit) AS audit
+             FROM ended GROUP BY conv_id),
+    steps AS (
+        SELECT conv_id, unnest(string_split(audit, '')) AS edit, generate_subscripts(string_split(audit, ''), 1) AS p
+        FROM best WHERE audit <> ''),
+    met AS (SELECT *, sum((edit <> 'I')::INT) OVER (PARTITION BY conv_id ORDER BY p)::BIGINT AS i FROM steps),
+    said AS (
+        SELECT met.conv_id, p, edit, role, text, c,
+               row_number() OVER (PARTITION BY met.conv_id ORDER BY p) AS r,
+               max((edit = 'K' AND c = 's')::INT) OVER (PARTITION BY met.conv_id)::BIGINT AS led
+        FROM met LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM met.conv_id AND j.i = met.i AND edit <> 'I'
+        WHERE edit <> 'D'),
+    told AS (
+        SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role || ':' || text
+            ELSE CASE (r - led) % 2 WHEN 1 THEN 'user:' ELSE 'assistant:' END || CASE edit WHEN 'I' THEN '' ELSE text END END,
+            chr(10) ORDER BY p)) AS sha FROM said GROUP BY conv_id),
+    counts AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+               count(*) FILTER (WHERE dup) AS duplicate, count(*) FILTER (WHERE cut) AS truncated,
+               count(*) FILTER (WHERE two NOT IN ('su', 'ua', 'au')) AS illegal
+        FROM judged GROUP BY conv_id)
+    SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+           coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+           coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o
+    LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM o.conv_id
+    LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id
+    LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM o.conv_id
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return repair.repair_conversations(repair.damage(rows), ids=rows)
+
+
+@query("op12_whiten")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=16)
+    return found.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
