@@ -13,6 +13,7 @@ from marquee.llm import (
     jaccard,
     language,
     line_dedup,
+    lm,
     mixing,
     pii,
     repair,
@@ -287,3 +288,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=16)
     return found.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+@query("op13_lm_score")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir), held_out=F.pmod(lm.crc32_of("doc_id"), F.lit(7)) == 2)
