@@ -41,7 +41,7 @@ def drop_repeated_lines(
     A text is cut at newlines; null and the empty text are one empty line. A key (`line_key`) of at least `min_length`
     code points found in at least `min_docs` rows loses all its lines in all rows; the others stay in place, joined by
     newlines, and a document that loses all its lines becomes "". A row is a document: rows repeated count each, also
-    with equal or null ids. An empty table stays empty. Columns of `docs` named n_lines or n_dropped are replaced.
+    with equal or null ids. Texts may be of any length and number of lines; a text is held in memory as a whole. An empty table stays empty. Columns of `docs` named n_lines or n_dropped are replaced.
 
     Lines are dealt out by hash as (hash, row key, position); the row key is the id and a hash of the text, so rows that
     cannot be told apart get the same positions. The list of frequent keys grows with the data, so it is joined by a
@@ -60,7 +60,8 @@ def drop_repeated_lines(
     whole = lines(F.col(text_column))
     none = F.col(gone).isNull()
     places = F.array_except(F.sequence(F.lit(0), F.size(whole) - 1), F.col(gone))
-    kept = F.transform(places, lambda i: F.get(whole, i))
+    # bound once: a text is not split again for each line that stays
+    kept = F.transform(F.array(whole), lambda w: F.transform(places, lambda i: F.get(w, i)))[0]
     shown = {
         "n_lines": F.size(whole).cast("long"),
         "n_dropped": F.when(none, 0).otherwise(F.size(gone)).cast("long"),
