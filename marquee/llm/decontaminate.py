@@ -90,15 +90,16 @@ def find_items(
     if wanted.count() <= BROADCAST_ROWS and len(sizes) and asked.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     met = read.join(wanted, F.col("id").eqNullSafe(F.col("id_")) & (F.col("t") == F.col("t_")))
+    # each run of a document once, not once per item: those that items ask for meet the items that have them
+    sides = near(asked.select("item", "k", "n", "texts", F.xxhash64("texts").alias("own"), F.explode("texts").alias("run")).drop("texts"))
+    found = None
     for k in sizes:
-        met = met.withColumn(f"runs{k}", _texts("ws", k))
-    each = met.select("id", "t", *[f"runs{k}" for k in sizes], F.explode("asked.item").alias("item"))
-    sides = near(asked.select(F.col("item").alias("item_"), "k", "texts"))
-    found = each.join(sides, F.col("item").eqNullSafe(F.col("item_")))
-    shared = F.lit(None).cast("int")
-    for k in sizes:
-        shared = F.when(F.col("k") == k, F.size(F.array_intersect("texts", f"runs{k}"))).otherwise(shared)
-    found = found.select("id", "t", "item", shared.cast("long").alias("n_shared"), F.size("texts").cast("long").alias("n_item"))
+        runs = met.select("id", "t", "asked", F.explode(F.array_distinct(_texts("ws", k))).alias("run"))
+        hits = runs.join(sides.where(F.col("k") == k).drop("k"), "run")
+        hits = hits.where(F.exists("asked", lambda a: a["item"].eqNullSafe(F.col("item")))).select("id", "t", "item", "n", "own", "run")
+        found = hits if found is None else found.unionByName(hits)
+    found = found.groupBy("id", "t", "item", "n", "own").agg(F.size(F.collect_set("run")).cast("long").alias("n_shared"))
+    found = found.withColumn("n_item", F.col("n").cast("long"))
     return (
         found.where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
         .groupBy("id", "t", "item")
