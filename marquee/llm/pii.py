@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -149,7 +149,7 @@ _SIDES = {(s, k): _bucket(f"{s} {k}") for s in ("before", "after") for k in ("ed
 def padded(sequences: list[list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
     """(sequence, place, feature) with BUCKETS where there is none, and the lengths."""
     most = max(len(s) for s in sequences)
-    width = max(len(f) for s in sequences for f in s)
+    width = max((len(f) for s in sequences for f in s), default=1)
     out = np.full((len(sequences), most, width), BUCKETS, dtype=np.int64)
     for i, s in enumerate(sequences):
         for j, f in enumerate(s):
@@ -217,28 +217,36 @@ class Crf:
             self.weights[BUCKETS] = 0
         return self
 
-    def decode(self, features: list[list[list[int]]], room: int = 50_000) -> list[list[int]]:
-        """The most probable labels (Viterbi), by batches of sequences of like lengths holding up to `room` words."""
+    def decode(self, features: Sequence[Sequence[list[int]]], room: int = 50_000) -> list[list[int]]:
+        """The most probable labels (Viterbi), by batches of sequences of like lengths.
+
+        A batch has about `room` words, of which a fifth is looked up at a time, one block after another: the scores of the
+        labels are carried over and only a back pointer (a byte) per word and label is kept.
+        """
         order = sorted(range(len(features)), key=lambda i: len(features[i]))
         out: list[list[int]] = [[]] * len(features)
         while order:
             longest = len(features[order[-1]])
             part = [order.pop() for _ in range(min(len(order), max(1, room // longest)))]
-            x, lengths = padded([features[i] for i in part])
-            emit = self.weights[x].sum(2)
-            n, most, k = emit.shape
-            score = self.steps[k] + emit[:, 0]
-            came = np.zeros((most, n, k), dtype=np.int8)
-            for t in range(1, most):
-                each = score[:, :, None] + self.steps[:k]
-                came[t] = each.argmax(1)
-                step = each.max(1) + emit[:, t]
-                on = (t < lengths)[:, None]
-                came[t] = np.where(on, came[t], np.arange(k))
-                score = np.where(on, step, score)
+            lengths, n, k = np.array([len(features[i]) for i in part]), len(part), len(LABELS)
+            came = np.zeros((longest, n, k), dtype=np.int8)
+            block = max(1, room // (5 * n))
+            for start in range(0, longest, block):
+                x, _ = padded([features[i][start : start + block] for i in part])
+                emit = self.weights[x].sum(2)
+                for t in range(start, start + emit.shape[1]):
+                    if not t:
+                        score = self.steps[k] + emit[:, 0]
+                        continue
+                    each = score[:, :, None] + self.steps[:k]
+                    came[t] = each.argmax(1)
+                    step = each.max(1) + emit[:, t - start]
+                    on = (t < lengths)[:, None]
+                    came[t] = np.where(on, came[t], np.arange(k))
+                    score = np.where(on, step, score)
             label = score.argmax(1)
-            path = np.zeros((n, most), dtype=np.int64)
-            for t in range(most - 1, -1, -1):
+            path = np.zeros((n, longest), dtype=np.int8)
+            for t in range(longest - 1, -1, -1):
                 path[:, t] = label
                 label = came[t][np.arange(n), label]
             for row, i in enumerate(part):
@@ -246,6 +254,21 @@ class Crf:
         return out
 
 
+class Run:
+    """The words of a sequence; features are made for the slices that are asked for."""
+
+    def __init__(self, features: Features, text: str, words: list[tuple[int, int]]):
+        self.features, self.text, self.words = features, text, words
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def __getitem__(self, part: slice) -> list[list[int]]:
+        first, last, _ = part.indices(len(self.words))
+        near = [self.text[a:b] for a, b in self.words[max(0, first - 1) : last + 1]]
+        return self.features.of(near)[first - max(0, first - 1) :][: max(0, last - first)]
+
+
 def span_labels(words: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> list[int]:
     """The label of each word (start, end): that of the span it overlaps most of, B- where the span begins."""
     out = [0] * len(words)
@@ -290,7 +313,7 @@ def all_spans(texts: list[str], model: Crf) -> list[tuple[list, list]]:
         for words in sequences(text):
             owners.append(i)
             places.append(words)
-            rows.append(features.of([text[a:b] for a, b in words]))
+            rows.append(Run(features, text, words))
     both = [list(b) for b in base]
     taken: dict[int, tuple[list[int], list[int]]] = {}
     for i, words, labels in zip(owners, places, model.decode(rows)):
@@ -357,7 +380,7 @@ def find_personal_data(
     finds outside of all base spans (n_added of them). It labels words by their shapes, in runs of words around each
     one with a digit or an @; it is trained on `labelled` (roll, place, words, labels), by default on a bounded table
     that the fixed patterns label. Null is the empty text; a text without findings has empty spans. Whole texts are
-    searched, however long; rows repeated, null ids and empty tables need nothing special; other columns are ignored.
+    searched, however long: a line is decoded in blocks, for some 150 bytes a word; rows repeated, null ids and empty tables need nothing special; other columns are ignored.
     """
     small_batches(docs)
     model = train(labelled if labelled is not None else labelled_table(docs, id_column, text_column))
