@@ -20,14 +20,15 @@ LABELLED = 4_000
 NAMES = "secret|token|passw|passwd|pwd|api|key|auth|credential|private"
 #: A secret-like name; it, an = or :, and the value given to it, which is a candidate from so many characters on.
 VALUE_LEAST = 6
-NAMED = f"(?i:{NAMES})[A-Za-z0-9_-]{{0,64}}[\\\\\"'`\\])]{{0,4}} ?"
+#: The name is looked for once in each run of letters, so a long run costs no more than its length.
+NAMED = f"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]*?(?i:{NAMES}))[A-Za-z0-9_-]*+[\\\\\"'`\\])]{{0,4}} ?"
 SIGN = "[=:]{1,2}>? ?"
 #: In quotes (group 2), in quotes that the word does not close (4), or bare up to a closing sign or the next name (5).
 ASSIGNED = (
     f"(?s){NAMED}{SIGN}(?:"
     r"\\?([\"'`])(.+?)\\?\1(?![A-Za-z0-9])"
     r"|\\?([\"'`])(\S+)$"
-    r"|(?![{\[(]*\\?[\"'`])(\S+?)(?=[\"'`\\]*[&;,][A-Za-z_][A-Za-z0-9_.-]{0,64}[\"'`]?[=:]|\\?[\"'`][>)\]}]|\s|$))"
+    r"|(?![{\[(]*\\?[\"'`])(\S+?)(?=[\"'`\\]*[&;,][A-Za-z_][A-Za-z0-9_.-]*+[\"'`]?[=:]|\\?[\"'`][>)\]}]|\s|$))"
 )
 #: What a value may follow that stands at the start of its word: a name with a sign, or a name alone before a sign.
 LEAD_IN = f"{NAMED}(?:{SIGN})?$"
@@ -81,6 +82,9 @@ def candidates(docs: DataFrame, id_column: str, text_column: str, path_column: s
     path = F.col(path_column).cast("string") if path_column else F.lit(None).cast("string")
     read = docs.select(F.col(id_column).alias("id"), path.alias("path"), words(F.col(text_column)).alias("ws"))
     word = lambda i: F.get(F.col("ws"), i)
+    # the words with a quote, so that a value's closing one is found without joining all that follows
+    having = lambda q: F.filter(F.sequence(F.lit(0), F.size("ws") - 1), lambda j: F.contains(word(j), F.lit(q)))
+    read = read.where(F.size("ws") > 0).select("*", having('"').alias("double"), having("'").alias("single"), having("`").alias("back"))
     signed = lambda i: word(i).rlike("[=:]") | F.coalesce(word(i - 1).rlike("[=:]>?$"), F.lit(False))
     places = F.filter(
         F.sequence(F.lit(0), F.size("ws") - 1), lambda i: (F.octet_length(word(i)) >= LEAST) | signed(i)
@@ -89,9 +93,11 @@ def candidates(docs: DataFrame, id_column: str, text_column: str, path_column: s
     def rest(i: Column) -> Column:
         """The later words up to the quote that closes one opened in this word; null where there is none."""
         quote = F.regexp_extract(word(i), "(?:^|[=:]>?)[{\\[(\\\\]*([\"'`])[^\"'`]*$", 1)
-        later = F.concat_ws(" ", F.slice("ws", i + 2, F.size("ws")))
         near = F.concat_ws(" ", word(i - 2), word(i - 1), word(i)).rlike(f"(?i:{NAMES})")
-        return F.when(signed(i) & near & (quote != ""), F.when(F.contains(later, quote), F.get(F.split(later, quote, 2), 0)))
+        closing = F.when(quote == '"', F.col("double")).when(quote == "'", F.col("single")).otherwise(F.col("back"))
+        closes = F.get(F.filter(closing, lambda j: j > i), 0)
+        later = F.concat_ws(" ", F.slice("ws", i + 2, closes - i))
+        return F.when(signed(i) & near & (quote != ""), F.when(closes.isNotNull(), F.get(F.split(later, quote, 2), 0)))
 
     found = F.transform(
         places,
@@ -100,7 +106,7 @@ def candidates(docs: DataFrame, id_column: str, text_column: str, path_column: s
             word(i + 1).alias("after"), rest(i).alias("rest"),
         ),
     )
-    each = read.where(F.size("ws") > 0).select("id", "path", F.explode(found).alias("f")).select("id", "path", "f.*")
+    each = read.select("id", "path", F.explode(found).alias("f")).select("id", "path", "f.*")
     each = each.withColumn("lead_in", F.regexp_extract(F.concat("before", F.lit(" ")), LEAD_IN, 0))
     runs = F.regexp_extract_all("text", F.lit(RUN), 0)
     values = assigned_values(F.col("lead_in"), F.col("text"), F.col("rest"))
