@@ -23,11 +23,12 @@ LABELLED = 1_500
 CONTEXT = 3
 BUCKETS = 256
 
-DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+# nothing follows the repeats, so what they took is never given back and need not be remembered
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # a run of digits is entered at its first digit: from a later one it goes on alike
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
-CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 TELLING = re.compile("[0-9@]")
