@@ -16,6 +16,8 @@ MIN_HALL_SIDE = 5
 MIN_RATING = 0
 MAX_RATING = 5
 PENDING_TIMEOUT_MINUTES = 15
+RETRY_ATTEMPTS = 3
+RETRY_PAUSE_SECONDS = 2.0
 SPAM_LIMIT = 3
 NEWEST_MOVIES = 10
 TOP_MOVIES_PER_DAY = 5

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marquee.session import materialize
 
@@ -31,18 +32,59 @@ def upsert_by_date(spark: SparkSession, path: str, keys: list[str], schema: str)
     return write
 
 
-def append_once(path: str, publish: Writer | None = None) -> Writer:
-    """Append a batch under its own id, so that a replay replaces it; then hand it to `publish`."""
+def append_once(path: str, publish: Writer | None = None, key: str | None = None, pieces: int = 16) -> Writer:
+    """Append a batch under its own id, so that a replay replaces it; with `publish`, also hand its rows on, once.
+
+    What is handed on goes through an outbox beside the table, see `publish_once`; `key` names the column that tells the
+    rows of a batch apart.
+    """
+    if publish:
+        return publish_once(path, publish, key or "log_id", pieces)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return write
+
+
+SENT = "batch_id long, piece int"
+
+
+def publish_once(outbox: str, publish: Writer, key: str, pieces: int = 16) -> Writer:
+    """Store a batch in the outbox under its id, then publish it piece by piece and log each piece that was sent.
+
+    A replay finds the batch in the outbox as it was stored first, whatever the stream makes of it now, and publishes
+    the pieces the log does not have: nothing again that is known to be sent, and everything that is not. A piece that
+    was sent when the log entry failed is the one case that is sent twice; so every row carries a `message_id` of batch
+    and `key`, the same each time, by which a receiver drops it.
+    """
+    log = f"{outbox.rstrip('/')}_sent"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = materialize(batch) if publish else batch
-        rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        if publish:
-            publish(rows, batch_id)
+        spark = batch.sparkSession
+        spark.createDataFrame([], SENT).write.mode("ignore").partitionBy("batch_id").parquet(log)
+        sent = spark.read.schema(SENT).parquet(log).filter(F.col("batch_id") == batch_id)
+        folder = f"{outbox}/batch_id={batch_id}"
+        # piece -1 says that the outbox has the whole batch
+        if sent.filter("piece = -1").isEmpty():
+            named = F.concat_ws(":", F.lit(str(batch_id)), F.col(key).cast("string"))
+            batch.withColumn("message_id", named).write.mode("overwrite").parquet(folder)
+            _enter(spark, log, batch_id, -1)
+        rows = spark.read.schema(T.StructType([*batch.schema.fields, T.StructField("message_id", T.StringType())])).parquet(folder)
+        piece = F.pmod(F.xxhash64("message_id"), F.lit(pieces)).cast("int")
+        full = rows.groupBy(piece.alias("piece")).agg(F.count(F.lit(1)).alias("n")).join(sent, "piece", "left_anti")
+        todo = full.agg(F.array_sort(F.collect_list("piece"))).first()[0]  # at most `pieces` numbers
+        for p in todo:
+            publish(rows.filter(piece == p), batch_id)
+            _enter(spark, log, batch_id, p)
 
     return write
 
 
+def _enter(spark: SparkSession, log: str, batch_id: int, piece: int) -> None:
+    spark.createDataFrame([(batch_id, piece)], SENT).coalesce(1).write.mode("append").partitionBy("batch_id").parquet(log)
+
+
 def kafka_publisher(servers: str, topic: str, key: str) -> Writer:
     """Publish rows as JSON without null fields."""
 
