@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,7 +146,8 @@ def check_requests(
     wants = served.select(
         "request_id", "requested_at", "show_id", "_open", "_seat", F.explode(F.array_distinct("seat_ids")).alias("seat_id")
     )
-    given = _given(wants.filter(F.col("_seat").isNull()).drop("_seat"))
+    free = served.filter(F.col("_seat").isNull() & (F.size("seat_ids") > 0))
+    given = materialize(_given(free.withColumn("seats", F.array_sort(F.array_distinct("seat_ids")))))
     turn = F.struct("requested_at", "request_id")
     # an open seat is given once, so the show is full from its last one on
     filled = (
@@ -171,32 +175,33 @@ def check_requests(
 
 
 def _given(wants: DataFrame) -> DataFrame:
-    """The rows of `wants`, one per request and seat, of the requests that get all their seats.
+    """(request_id, requested_at, show_id, _open, seat_id) of the requests that get all their `seats`.
 
-    A request that is first for all of its seats is accepted and those that want
-    a seat of it lose; losers give their other seats free, so the rest is decided
-    again.  Every round decides at least the earliest request of each show, and is
-    written once; only requests with a contested seat take part.
+    Of requests for the same seats only the first can get them: if it does not, one of them is gone.  So a show comes
+    down to its distinct sets of seats (combined map-side, however many ask), and these are decided in order of time in
+    one scan that keeps the seats given so far; nothing else is carried from row to row.
     """
-    seat = ["show_id", "seat_id"]
-    contested = wants.groupBy(*seat).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*seat)
-    rivals = materialize(wants.join(contested, seat, "left_semi").select("request_id").distinct())
-    given = wants.join(rivals, "request_id", "left_anti")
-    left = materialize(wants.join(rivals, "request_id", "left_semi"))
-    while not left.isEmpty():
-        first = left.groupBy(*seat).agg(F.min(F.struct("requested_at", "request_id"))["request_id"].alias("_first"))
-        placed = left.join(first, seat)
-        wins = placed.groupBy("request_id").agg(F.bool_and(F.col("_first") == F.col("request_id")).alias("_wins"))
-        # a seat is gone if the first for it is accepted
-        gone = placed.join(wins.filter("_wins").select(F.col("request_id").alias("_first"), "_wins"), "_first", "left")
-        state = gone.groupBy("request_id").agg(
-            F.bool_and(F.col("_first") == F.col("request_id")).alias("_won"),
-            F.bool_or(F.coalesce("_wins", F.lit(False))).alias("_decided"),
-        )
-        round_ = materialize(left.join(state, "request_id"))
-        given = given.unionByName(round_.filter("_won").drop("_won", "_decided"))
-        left = round_.filter("NOT _decided").drop("_won", "_decided")
-    return given
+    first = wants.groupBy("show_id", "seats").agg(
+        F.min(F.struct("requested_at", "request_id")).alias("_turn"), F.first("_open").alias("_open")
+    )
+    turns = first.select("show_id", "_turn.*", "_open", "seats").repartition("show_id")
+    ordered = turns.sortWithinPartitions("show_id", "requested_at", "request_id")
+    got = ordered.mapInArrow(_served, ordered.schema)
+    return got.select("request_id", "requested_at", "show_id", "_open", F.explode("seats").alias("seat_id"))
+
+
+def _served(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The requests that get their seats, of rows sorted by show and turn."""
+    show, taken = None, set()
+    for batch in batches:
+        wins = []
+        for this, seats in zip(batch.column("show_id").to_pylist(), batch.column("seats").to_pylist()):
+            if this != show:
+                show, taken = this, set()
+            wins.append(taken.isdisjoint(seats))
+            if wins[-1]:
+                taken.update(seats)
+        yield batch.filter(pa.array(wins, pa.bool_()))
 
 
 def transitions(requests: DataFrame, bookings: DataFrame, payments: DataFrame) -> DataFrame:

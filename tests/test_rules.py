@@ -479,3 +479,27 @@ def test_missing_fields(spark):
     df = spark.createDataFrame([(1, "x"), (None, " "), (2, None)], "a long, b string")
     got = [r.missing for r in Q.missing_fields(df, ["a", "b"]).collect()]
     assert sorted(got) == [["a", "b"], ["b"]]
+
+
+def test_chain_of_losers_in_one_job(spark):
+    """Each request wants a seat of the one before it: every other one loses, and its second seat stays free."""
+    n = 500
+    asked = [(f"r{i:03}", "u", "s", START + dt.timedelta(seconds=i), [str(i), str(i + 1)]) for i in range(n)]
+    asked += [("none", "u", "s", START, []), ("null", "u", "s", START, None)]
+    df = spark.createDataFrame(
+        asked, "request_id string, user_id string, show_id string, requested_at timestamp_ntz, seat_ids array<string>"
+    )
+    users = spark.createDataFrame([("u", "ACTIVE")], "user_id string, status string")
+    seats = spark.createDataFrame([("s", str(i), "AVAILABLE") for i in range(2 * n)], "show_id string, seat_id string, status string")
+    checked = B.check_requests(df, users, seats.select("show_id").distinct(), seats)
+    got = {r.request_id: r.reason for r in checked.collect()}
+    assert got == {"none": None, "null": None} | {f"r{i:03}": f"Seat ID {i} is reserved" if i % 2 else None for i in range(n)}
+
+
+def test_many_requests_for_the_same_seats_come_down_to_one(spark):
+    turns = spark.range(20_000).select(
+        F.col("id").cast("string").alias("request_id"), F.lit("s").alias("show_id"), F.lit(9).alias("_open"),
+        F.timestamp_seconds(20_000 - F.col("id")).alias("requested_at"), F.array((F.col("id") % 3).cast("string")).alias("seats"),
+    )
+    given = B._given(turns)
+    assert sorted((r.request_id, r.seat_id) for r in given.collect()) == [("19997", "2"), ("19998", "0"), ("19999", "1")]
