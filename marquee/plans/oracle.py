@@ -32,6 +32,43 @@ _VIEWS: dict[str, tuple[str, list[str]]] = {
              GROUP BY o.payment_id, o.t) f ON CAST(e.event_id AS BIGINT) = f.event_no""",
         ["payment_events", "openers"],
     ),
+    "arrivals": (
+        """SELECT * REPLACE (CASE WHEN n % 101 <> 0 THEN payment_id END AS payment_id),
+                  event_time + to_milliseconds(n * 7919 % 90000) + to_days(CASE WHEN n % 97 = 0 THEN 2 ELSE 0 END)
+                    AS arrived_at FROM (SELECT *, CAST(event_id AS BIGINT) AS n FROM payment_events)""",
+        ["payment_events"],
+    ),
+    "keyed_openers": (
+        """SELECT payment_id, min(event_time) AS t FROM arrivals WHERE payment_id IS NOT NULL GROUP BY payment_id
+           UNION ALL
+           SELECT o.payment_id, min(e.event_time) FROM keyed_openers o
+           JOIN arrivals e ON e.payment_id = o.payment_id AND e.event_time >= o.t + INTERVAL 1 DAY
+           GROUP BY o.payment_id, o.t""",
+        ["arrivals"],
+    ),
+    "keyed_accepted": (
+        """SELECT e.* FROM arrivals e JOIN (
+             SELECT min(e.n) AS event_no FROM keyed_openers o
+             JOIN arrivals e ON e.payment_id = o.payment_id AND e.event_time = o.t
+             GROUP BY o.payment_id, o.t) f ON e.n = f.event_no""",
+        ["arrivals", "keyed_openers"],
+    ),
+    "on_time_openers": (
+        """SELECT payment_id, min(event_time) AS t FROM arrivals
+           WHERE payment_id IS NOT NULL AND n % 97 <> 0 GROUP BY payment_id
+           UNION ALL
+           SELECT o.payment_id, min(e.event_time) FROM on_time_openers o
+           JOIN arrivals e ON e.payment_id = o.payment_id AND e.event_time >= o.t + INTERVAL 1 DAY AND n % 97 <> 0
+           GROUP BY o.payment_id, o.t""",
+        ["arrivals"],
+    ),
+    "on_time_accepted": (
+        """SELECT e.* FROM arrivals e JOIN (
+             SELECT min(e.n) AS event_no FROM on_time_openers o
+             JOIN arrivals e ON e.payment_id = o.payment_id AND e.event_time = o.t AND n % 97 <> 0
+             GROUP BY o.payment_id, o.t) f ON e.n = f.event_no""",
+        ["arrivals", "on_time_openers"],
+    ),
     "login_attempts": (
         """SELECT CAST(event_id AS VARCHAR) AS attempt_id, CAST(user_id AS VARCHAR) AS login_key, ts
            FROM events WHERE event_type IN ('signup', 'error')""",

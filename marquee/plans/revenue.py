@@ -3,6 +3,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marquee.operators import late as L
 from marquee.operators import revenue as R
 from marquee.operators.anchored import anchored_windows
 from marquee.plans.oracle import with_views
@@ -102,3 +103,56 @@ def _top_movies(v: Views) -> DataFrame:
 def _metrics(v: Views) -> DataFrame:
     placed = anchored_windows(v.payment_events, "payment_id", "event_time", "event_id", DAY * 1_000_000, "_nth", source=v.table("events"))
     return R.event_metrics(placed)
+
+
+@plan(
+    "event_rejects",
+    with_views("SELECT event_id, user_id, amount, 'missing paymentId' AS reason FROM arrivals WHERE payment_id IS NULL", "arrivals"),
+)
+def _rejects(v: Views) -> DataFrame:
+    return L.split_rejects(v.arrivals)[1].select("event_id", "user_id", "amount", "reason")
+
+
+def _late(v: Views) -> tuple[DataFrame, DataFrame]:
+    """(events a stream accepts of those on time, what the late ones change)."""
+    on_time, late = L.split_late(L.split_rejects(v.arrivals)[0])
+    taken = R.dedup_events(on_time, DAY, source=v.table("events"))
+    return taken, L.corrections(taken, on_time, late, DAY, source=v.table("events"))
+
+
+@plan(
+    "late_corrections",
+    with_views(
+        "SELECT event_id, payment_id, event_time, CAST(1 AS INTEGER) AS change FROM keyed_accepted "
+        "WHERE event_id NOT IN (SELECT event_id FROM on_time_accepted) UNION ALL "
+        "SELECT event_id, payment_id, event_time, -1 FROM on_time_accepted "
+        "WHERE event_id NOT IN (SELECT event_id FROM keyed_accepted)",
+        "keyed_accepted",
+        "on_time_accepted",
+    ),
+)
+def _late_corrections(v: Views) -> DataFrame:
+    return _late(v)[1].select("event_id", "payment_id", "event_time", "change")
+
+
+@plan(
+    "corrected_revenue",
+    with_views(_HOURLY.replace("FROM accepted", "FROM keyed_accepted"), "keyed_accepted"),
+)
+def _corrected_revenue(v: Views) -> DataFrame:
+    taken, changes = _late(v)
+    return rounded(L.corrected_revenue(R.hourly_revenue(taken), taken, changes))
+
+
+@plan(
+    "event_latency",
+    with_views(
+        "SELECT date, hour, share, len(l) AS n, l[CAST(ceil(share * len(l)) AS BIGINT)] AS latency_ms, l[-1] AS slowest FROM ("
+        "SELECT CAST(event_time AS DATE) AS date, CAST(hour(event_time) AS INTEGER) AS hour, "
+        "list_sort(list(CAST(epoch_us(arrived_at) - epoch_us(event_time) AS DOUBLE) / 1000)) AS l FROM arrivals GROUP BY ALL), "
+        "(SELECT unnest([0.5, 0.9, 0.99])::DOUBLE AS share)",
+        "arrivals",
+    ),
+)
+def _latency(v: Views) -> DataFrame:
+    return L.latency_quantiles(L.latency_sketches(v.arrivals), [0.5, 0.9, 0.99], ["date", "hour"])
