@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marquee.operators.skew import ROWS_PER_CHUNK, chunk_carry, chunked, hot_keys, micros
+from marquee.operators.skew import ROWS_PER_CHUNK, apart, chunk_carry, chunked, hot_keys, micros
 from marquee.session import materialize
 
 
@@ -45,10 +45,13 @@ def anchored_windows(
     if hot is None:
         rows = keyed.withColumn("_chunk", F.lit(0).cast("long")).withColumn("_t", micros(ts))
         return _number(rows, key, length_us, position, tie)
-    rows = materialize(chunked(keyed, key, micros(ts), hot).withColumn("_t", micros(ts)))
-    times = rows.filter("_is_hot").select(key, "_chunk", "_t", "_is_hot")
-    entering = _entering(times, key, length_us, hot, rows_per_chunk)
-    return _number(rows.drop("_is_hot"), key, length_us, position, tie, entering)
+    plain, large = apart(keyed, key, hot)
+    rows = materialize(chunked(large, key, micros(ts), hot).withColumn("_t", micros(ts)))
+    entering = _entering(rows.select(key, "_chunk", "_t", "_is_hot"), key, length_us, hot, rows_per_chunk)
+    plain = plain.withColumn("_chunk", F.lit(0).cast("long")).withColumn("_t", micros(ts))
+    return _number(plain, key, length_us, position, tie).unionByName(
+        _number(rows.drop("_is_hot"), key, length_us, position, tie, entering)
+    )
 
 
 def _number(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee import fixed_values as V
-from marquee.operators.skew import ROWS_PER_CHUNK, hot_keys, micros, with_lookback
+from marquee.operators.skew import ROWS_PER_CHUNK, apart, hot_keys, micros, with_lookback
 from marquee.session import materialize
 
 ORDER = ["event_time", "event_id"]
@@ -33,18 +33,21 @@ def with_history(
     events = events.withColumn("_who", own_key)
     sizes = events if sizes is None else sizes.withColumn("_who", own_key)
     hot = hot_keys(sizes, "_who", micros("event_time"), rows_per_chunk, source)
-    by = ["_who"]
-    if hot is not None:
-        by = ["_who", "_chunk"]
-        reach = max(V.HISTORY_LENGTH, fast_count - 1)
-        events = with_lookback(materialize(events), "_who", micros("event_time"), ORDER, reach, hot)
+    if hot is None:
+        return _judged(events, ["_who"], fast_seconds, fast_count)
+    plain, large = apart(events, "_who", hot)
+    reach = max(V.HISTORY_LENGTH, fast_count - 1)
+    cut = with_lookback(materialize(large), "_who", micros("event_time"), ORDER, reach, hot)
+    cut = _judged(cut, ["_who", "_chunk"], fast_seconds, fast_count).filter("NOT _halo").drop("_chunk", "_is_hot", "_halo")
+    return _judged(plain, ["_who"], fast_seconds, fast_count).unionByName(cut)
+
+
+def _judged(events: DataFrame, by: list[str], fast_seconds: int, fast_count: int) -> DataFrame:
     seen = Window.partitionBy(*by).orderBy(*ORDER)
     gap = micros("event_time") - F.lag(micros("event_time")).over(seen)
     expired = gap >= V.HISTORY_DAYS * 86_400_000_000
     recent = micros("event_time") - F.lag(micros("event_time"), fast_count - 1).over(seen)
-    history = (
-        Window.partitionBy(*by, "_epoch").orderBy(*ORDER).rowsBetween(-V.HISTORY_LENGTH, -1)
-    )
+    history = Window.partitionBy(*by, "_epoch").orderBy(*ORDER).rowsBetween(-V.HISTORY_LENGTH, -1)
     known = F.col("user_id").isNotNull()
     rows = (
         events.withColumn("is_fast", known & F.coalesce(recent <= fast_seconds * 1_000_000, F.lit(False)))
@@ -57,12 +60,11 @@ def with_history(
         .withColumn("history_mean", F.avg("amount").over(history))
         .withColumn("history_sd", F.stddev_pop("amount").over(history))
     )
-    rows = rows.filter("NOT _halo") if hot is not None else rows
     z = F.when(
         (F.col("history_n") >= V.HISTORY_MINIMUM) & (F.col("history_sd") > 0),
         (F.col("amount") - F.col("history_mean")) / F.col("history_sd"),
     )
-    return rows.withColumn("z", z).drop("_who", "_chunk", "_is_hot", "_halo", "_expired", "_epoch")
+    return rows.withColumn("z", z).drop("_who", "_expired", "_epoch")
 
 
 def is_failed_but_charged() -> Column:

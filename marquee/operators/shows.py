@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from marquee import fixed_values as V
 from marquee.functions.business import capacity, parse_request_time, seat_name, seat_price, show_end
-from marquee.operators.skew import ROWS_PER_CHUNK, chunk_carry, chunked, hot_keys, micros
+from marquee.operators.skew import ROWS_PER_CHUNK, apart, chunk_carry, chunked, hot_keys, micros
+from marquee.session import materialize
 
 # -- seats --------------------------------------------------------------------
 
@@ -172,34 +173,20 @@ def conflicts(candidates: DataFrame, shows: DataFrame, rows_per_chunk: int = ROW
     points = points.withColumn("_t", micros("at"))
     sizes = shows.select("hall_id", "start_time").unionByName(candidates.select("hall_id", "start_time"))
     hot = hot_keys(sizes, "hall_id", micros("start_time"), rows_per_chunk)
-    by = ["hall_id"]
-    if hot is not None:
-        points, by = chunked(points, "hall_id", F.col("_t"), hot), ["hall_id", "_chunk"]
-    order = Window.partitionBy(*by).orderBy("_t", "kind", "start_time", "show_id")
-    until = order.rowsBetween(Window.unboundedPreceding, 0)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    shown = F.coalesce("_shown", F.lit(False))
-    start = F.when(shown & (F.col("kind") == 0), F.struct("start_time", "show_id"))
-    ending = F.when(shown & (F.col("kind") == 0), F.struct("end_time", "show_id"))
-    started = F.count_if(shown & (F.col("kind") == 0))
-    ended = F.count_if(shown & (F.col("kind") == 1))
-    swept = (
-        points.withColumn("_started", started.over(until))
-        .withColumn("_ended", F.coalesce(ended.over(before), F.lit(0)))
-        .withColumn("_longest", F.max(ending).over(before))
-        .withColumn("_latest", F.max(start).over(until))
-    )
-    if hot is not None:
-        carry = chunk_carry(
-            points, "hall_id", {"_s": (started, F.sum), "_e": (ended, F.sum), "_l": (F.max(ending), F.max), "_t0": (F.max(start), F.max)}
-        )
-        swept = (
-            swept.join(carry, ["hall_id", "_chunk"], "left")
+    if hot is None:
+        swept = _swept(points, ["hall_id"])[0]
+    else:
+        plain, large = apart(points, "hall_id", hot)
+        cut, carry = _swept(materialize(chunked(large, "hall_id", F.col("_t"), hot)), ["hall_id", "_chunk"])
+        cut = (
+            cut.join(carry, ["hall_id", "_chunk"], "left")
             .withColumn("_started", F.col("_started") + F.coalesce("_s", F.lit(0)))
             .withColumn("_ended", F.col("_ended") + F.coalesce("_e", F.lit(0)))
             .withColumn("_longest", F.greatest("_longest", "_l"))
             .withColumn("_latest", F.greatest("_latest", "_t0"))
+            .drop("_chunk", "_is_hot", "_s", "_e", "_l", "_t0")
         )
+        swept = _swept(plain, ["hall_id"])[0].unionByName(cut)
     at_start, at_end = F.col("kind") == 0, F.col("kind") == 1
     found = (
         swept.filter(F.coalesce("_asked", F.lit(False)))
@@ -222,6 +209,28 @@ def conflicts(candidates: DataFrame, shows: DataFrame, rows_per_chunk: int = ROW
     )
 
 
+def _swept(points: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """(points with the running totals of `by`, where that has chunks what each is to add from those before it)."""
+    order = Window.partitionBy(*by).orderBy("_t", "kind", "start_time", "show_id")
+    until = order.rowsBetween(Window.unboundedPreceding, 0)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    shown = F.coalesce("_shown", F.lit(False))
+    start = F.when(shown & (F.col("kind") == 0), F.struct("start_time", "show_id"))
+    ending = F.when(shown & (F.col("kind") == 0), F.struct("end_time", "show_id"))
+    started = F.count_if(shown & (F.col("kind") == 0))
+    ended = F.count_if(shown & (F.col("kind") == 1))
+    swept = (
+        points.withColumn("_started", started.over(until))
+        .withColumn("_ended", F.coalesce(ended.over(before), F.lit(0)))
+        .withColumn("_longest", F.max(ending).over(before))
+        .withColumn("_latest", F.max(start).over(until))
+    )
+    if "_chunk" not in by:
+        return swept, None
+    parts = {"_s": (started, F.sum), "_e": (ended, F.sum), "_l": (F.max(ending), F.max), "_t0": (F.max(start), F.max)}
+    return swept, chunk_carry(points, "hall_id", parts)
+
+
 def conflicting_shows(candidates: DataFrame, shows: DataFrame, mode: str = "overlap", slot_minutes: int = 60) -> DataFrame:
     """(candidate, show) pairs of one hall that overlap; for candidate lists, not for a table with itself.
 

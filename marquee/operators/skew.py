@@ -4,15 +4,20 @@ A window partitioned by a key puts all rows of that key into one task.  The
 helpers here cut the few keys that are too large for that into chunks that
 follow the window order, and hand the little a chunk needs from its
 predecessors (its last k rows, or a running total) over separately.  Ordinary
-keys keep the plain plan, and the answer never depends on where the cuts fall.
+keys keep the plain plan, their rows are neither written nor shuffled for the hot ones, and the
+answer never depends on where the cuts fall.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marquee.session import materialize
 
@@ -31,23 +36,26 @@ def hot_keys(
 
     `pos` is the whole-number position that leads the window order.  The first
     table cuts the span of each such key into pieces of equal width; further
-    tables cut the pieces again that turn out too large, as where a key comes in bursts.  All counts
-    are combined map-side.  `source` may name a stored table of at least as many
+    tables cut the pieces again that turn out too large, as where a key comes in bursts.
+    Rows are not shuffled to find the keys: see `frequent`; only what may be hot is counted, and
+    combined map-side.  `source` may name a stored table of at least as many
     rows: its row count, read from file footers, may settle it.
     """
-    if source is not None and source.count() <= rows_per_chunk:
+    total = (df if source is None else source).count()
+    if total <= rows_per_chunk:
         return None
 
     def narrower(width: Column) -> Column:
         return F.greatest(F.lit(1).cast("long"), F.ceil(width / F.ceil(F.col("_n") / F.lit(rows_per_chunk))))
 
     count = F.count(F.lit(1)).alias("_n")
-    largest = (
-        df.filter(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(count, F.min(pos).alias("_chunk"), F.max(pos).alias("_hi"))
-        .filter(F.col("_n") > rows_per_chunk)
-    )
+    keyed = df.filter(F.col(key).isNotNull())
+    maybe = materialize(frequent(keyed, key, rows_per_chunk / total))
+    if maybe.isEmpty():
+        return None
+    only_maybe = keyed.select(key, pos.alias("_at")).join(_short(maybe), key, "left_semi")
+    largest = only_maybe.groupBy(key).agg(count, F.min("_at").alias("_chunk"), F.max("_at").alias("_hi"))
+    largest = largest.filter(F.col("_n") > rows_per_chunk)
     cuts = [materialize(largest.select(key, "_chunk", narrower(F.col("_hi") - F.col("_chunk") + 1).alias("_width")))]
     if cuts[0].isEmpty():
         return None
@@ -61,6 +69,45 @@ def hot_keys(
         cuts.append(again)
 
 
+def frequent(df: DataFrame, key: str, share: float) -> DataFrame:
+    """Distinct keys among which are all that hold at least `share` of the rows; few others.
+
+    A key with such a share of all rows has it in one partition at least.  So each partition keeps
+    the counters of a Misra-Gries summary, 2 / share of them, and passes on only keys
+    whose count, with what the summary may have missed, reaches the share there.
+    """
+    room = int(2 / share) + 1
+    schema = T.StructType([df.schema[key]])
+
+    def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen, missed = None, 0, 0
+        for batch in batches:
+            counted = pc.value_counts(batch.column(0))
+            part = pa.table({"k": counted.field(0), "n": counted.field(1)})
+            seen += batch.num_rows
+            known = part if known is None else pa.concat_tables([known, part])
+            if known.num_rows <= 4 * room:
+                continue
+            known = known.group_by("k").aggregate([("n", "sum")]).rename_columns(["k", "n"])
+            if known.num_rows > 2 * room:
+                n = known["n"].to_numpy()
+                least = int(np.partition(n, -room - 1)[-room - 1])
+                missed += least
+                known = known.set_column(1, "n", pa.array(n - least)).filter(pa.array(n > least))
+        if known is not None:
+            known = known.group_by("k").aggregate([("n", "sum")])
+            reached = known.filter(pc.greater_equal(known["n_sum"], seen * share - missed))
+            yield from pa.table([reached["k"]], names=[key]).to_batches()
+
+    return df.select(key).mapInArrow(heavy, schema).distinct()
+
+
+def apart(df: DataFrame, key: str, hot: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(rows of ordinary keys, rows of hot keys); rows without a key are ordinary."""
+    keys = _short(hot[0].select(key))
+    return df.join(keys, key, "left_anti"), df.join(keys, key, "left_semi")
+
+
 def _short(keys: DataFrame) -> DataFrame:
     """Stored `keys`, broadcast if they are few: there can be rows / rows_per_chunk of them."""
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
@@ -109,17 +156,20 @@ def rank_within(
 ) -> DataFrame:
     """1-based row number of every row inside its key; `pos` must lead `order`."""
     hot = hot_keys(df, key, pos, rows_per_chunk)
+    plain, large = (df, None) if hot is None else apart(df, key, hot)
+    ranked = plain.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
     if hot is None:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
-    rows = chunked(df, key, pos, hot)
+        return ranked
+    rows = chunked(large, key, pos, hot)
     carry = chunk_carry(rows, key, {"_before": (F.count(F.lit(1)), F.sum)})
     local = F.row_number().over(Window.partitionBy(key, "_chunk").orderBy(*order))
-    return (
+    cut = (
         rows.withColumn(name, local)
         .join(carry, [key, "_chunk"], "left")
         .withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0)))
         .drop("_before", "_chunk", "_is_hot")
     )
+    return ranked.unionByName(cut)
 
 
 def with_lookback(df: DataFrame, key: str, pos: Column, order: Sequence[str], k: int, hot: list[DataFrame]) -> DataFrame:

@@ -4,16 +4,26 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+from collections import Counter
+from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
 
 from marquee.operators import anomaly as A
+from marquee.operators import anchored, skew
 from marquee.operators import catalog as C
 from marquee.operators import recommend as M
+from marquee.operators import revenue as R
 from marquee.operators import shows as S
 from marquee.operators.anchored import _candidates, _openers, anchored_windows
-from marquee.operators.skew import chunked, hot_keys, micros, rank_within
+from marquee.operators.skew import chunked, frequent, hot_keys, micros, rank_within
+from marquee.plans.all import ORACLES
+from marquee.plans.anomaly import FAST_SECONDS
+from marquee.plans.revenue import DAY
+from marquee.session import materialize
+from marquee.sources.testdata import Views
+from tools.check_oracle import compare, duck
 
 START = dt.datetime(2024, 1, 1)
 EVENTS = (
@@ -22,6 +32,16 @@ EVENTS = (
 )
 
 
+@contextmanager
+def conf(spark, name, value):
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def skewed_times(seed: int, n: int, dense: int):
     """(key, seconds): key 'hot' holds most rows, in bursts and with long pauses; ties included."""
     rng = random.Random(seed)
@@ -276,3 +296,72 @@ def test_catalog_parts_hold_every_comment_once(spark):
 
 def test_micros_keeps_microseconds(spark):
     assert spark.sql("SELECT timestamp_ntz'1970-01-01 00:00:01.000002' AS t").select(micros("t")).first()[0] == 1_000_002
+
+
+@pytest.mark.parametrize("share", [0.3, 0.05, 0.01])
+def test_frequent_keys_are_all_passed_on(spark, share):
+    """Whatever the order and the partitions, and though the summaries are pruned."""
+    rows = [f"k{i % 7}" if i % 4 else f"u{i}" for i in range(6_000)] + ["late"] * 700 + [None] * 10
+    random.Random(3).shuffle(rows)
+    df = spark.createDataFrame([(r,) for r in rows], "key string").repartition(5).filter("key IS NOT NULL")
+    counts = Counter(r for r in rows if r is not None)
+    total = sum(counts.values())
+    with conf(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "100"):
+        got = [r.key for r in frequent(df, "key", share).collect()]
+    assert len(got) == len(set(got)) <= 5 * (2 / share + 1)
+    assert {k for k, n in counts.items() if n >= share * total} <= set(got)
+    one_order = spark.createDataFrame([(r,) for r in sorted(r for r in rows if r)], "key string").coalesce(1)
+    assert {k for k, n in counts.items() if n >= share * total} <= {r.key for r in frequent(one_order, "key", share).collect()}
+
+
+def test_frequent_keys_are_found_without_a_shuffle_of_rows(spark):
+    df = spark.range(1000).select((F.col("id") % 10).alias("key"))
+    plan = frequent(df, "key", 0.05)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") < plan.index("MapInArrow")  # printed from the top
+
+
+def test_only_rows_of_hot_keys_are_written(spark, monkeypatch):
+    """One hot key of 600 rows among 3,000: nothing larger than its rows reaches the checkpoint folder."""
+    rows = [("hot", i) for i in range(600)] + [(f"k{i % 400}", i) for i in range(2_400)]
+    df = spark.createDataFrame([(k, f"e{n}", t) for n, (k, t) in enumerate(rows)], "key string, id string, t long")
+    df = df.withColumn("ts", F.timestamp_seconds("t"))
+    written = []
+
+    def recorded(table):
+        out = materialize(table)
+        written.append(out.count())
+        return out
+
+    for module in (skew, anchored, A, S):
+        monkeypatch.setattr(module, "materialize", recorded)
+    placed = anchored_windows(df, "key", "ts", "id", 5_000_000, rows_per_chunk=200)
+    assert placed.count() == 3_000 and max(written) <= 600
+    written.clear()
+    events = df.select(
+        F.col("id").alias("event_id"), F.col("key").alias("user_id"), F.col("ts").alias("event_time"),
+        F.col("t").cast("double").alias("amount"), F.lit("ip").alias("device_ip"),
+    )
+    assert A.with_history(events, rows_per_chunk=200).count() == 3_000 and max(written) <= 600
+    written.clear()
+    shows = df.select(
+        F.col("key").alias("hall_id"), F.col("id").alias("show_id"), F.col("ts").alias("start_time"), F.timestamp_seconds(F.col("t") + 2).alias("end_time")
+    )
+    assert S.conflicts(shows, shows, 200).count() == 3_000 and max(written) <= 2 * 600  # a start and an end each
+
+
+def test_cut_keys_answer_the_oracle(spark, tiny):
+    """The named queries over the given tables with chunks so small that keys are cut."""
+    v = Views(spark, tiny)
+    small = {
+        "dedup_events": lambda *_: R.dedup_events(v.payment_events, DAY, rows_per_chunk=4).select(
+            "event_id", "payment_id", "user_id", "movie_id", "event_time", "status"
+        ),
+        "anomaly_by_type": lambda *_: A.count_by_type(
+            A.anomaly_logs(A.with_history(R.dedup_events(v.payment_events, DAY, rows_per_chunk=4), FAST_SECONDS, rows_per_chunk=20))
+        ),
+        "show_conflicts": lambda *_: S.conflicts(v.shows, v.shows, 200)
+        .filter("n_conflicts > 0").select("show_id", "hall_id", "n_conflicts", "conflict_with"),
+    }
+    for name, fn in small.items():
+        verdict = compare(spark, duck(tiny), tiny, name, fn, ORACLES[name])
+        assert verdict.startswith("ok"), (name, verdict)
