@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from marquee.functions.text import duration_text
 from marquee.operators import catalog as C
+from marquee.operators import search as X
 from marquee.operators.bookings import of_user_movie
 from marquee.plans.oracle import with_views
 from marquee.plans.registry import plan
+from marquee.session import materialize, scratch_folder
 from marquee.sources.testdata import Views
 
 # -- search -------------------------------------------------------------------
@@ -114,9 +116,50 @@ def _admin(v: Views) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+_KEYWORDS = """SELECT DISTINCT keyword FROM (SELECT unnest(string_split(title, ' ')) AS keyword FROM movies
+  UNION ALL SELECT upper(title) FROM movies UNION ALL SELECT substr(title, 3, 5) FROM movies
+  UNION ALL SELECT * FROM (VALUES ('re'), ('zz'), ('no such title'), ('l')))"""
+
+
+@plan(
+    "title_index_search",
+    with_views(
+        "SELECT keyword, count(*) AS n, min(movie_id) AS first, sum(movie_id)::BIGINT AS total "
+        "FROM keywords JOIN movies ON contains(lower(title), lower(keyword)) GROUP BY keyword",
+        "movies",
+        keywords=_KEYWORDS,
+    ),
+)
+def _title_index(v: Views) -> DataFrame:
+    """Every word, whole title and middle of a title looked for through an index of all titles."""
+    t, spark = F.col("title"), v.spark
+    given = F.array_union(F.split(t, " "), F.array(F.upper(t), F.substring(t, 3, 5)))
+    words = v.movies.select(F.explode(given).alias("keyword"))
+    words = words.unionByName(spark.createDataFrame([(k,) for k in ("re", "zz", "no such title", "l")], "keyword string"))
+    path = scratch_folder(spark, "titles")
+    X.build_index(v.movies, "movie_id", "title", path)
+    found = X.search_all(v.movies, "movie_id", "title", path, words, mode="case")
+    return found.groupBy("keyword").agg(F.count(F.lit(1)).alias("n"), F.min("movie_id").alias("first"), F.sum("movie_id").alias("total"))
+
+
 # -- listings -----------------------------------------------------------------
 
 
+@plan(
+    "movies_deep_page",
+    with_views(
+        f"SELECT {_MOVIE} FROM (SELECT *, row_number() OVER (ORDER BY movie_id) - 1 AS i, count(*) OVER () AS n FROM movies) "
+        "WHERE i // 50 = (n - 1) // 50 - 1",
+        "movies",
+    ),
+)
+def _deep_page(v: Views) -> DataFrame:
+    """The last page but one, read where it starts."""
+    starts = materialize(X.page_starts(v.movies, "movie_id", 50))
+    last = starts.agg(F.max("page")).first()[0]
+    return X.page_at(v.movies, "movie_id", starts, last - 1)
+
+
 @plan("movies_page", with_views(f"SELECT {_MOVIE} FROM movies ORDER BY movie_id LIMIT 50 OFFSET 50", "movies"))
 def _page(v: Views) -> DataFrame:
     return C.page(v.movies, 1, 60)

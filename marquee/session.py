@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +54,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named or context.getCheckpointDir()
 
 
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new folder name for a table of a job, inside the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` once to the checkpoint folder and read it from there."""
     checkpoint_dir(df.sparkSession)
