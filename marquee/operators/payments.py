@@ -129,6 +129,11 @@ def reconcile(payments: DataFrame, responses: DataFrame) -> DataFrame:
     payment without a response stays pending.
     """
     answer = responses.withColumn("_answered", F.lit(True))
+    return settled(payments.join(answer, "txn_ref", "left"))
+
+
+def settled(met: DataFrame) -> DataFrame:
+    """Payments with `new_status`, from payments that met their response (`_answered`) or none."""
     agrees = (
         (F.col("response_code") == "00")
         & (F.col("amount_minor") == minor_units(F.col("amount")))
@@ -137,8 +142,4 @@ def reconcile(payments: DataFrame, responses: DataFrame) -> DataFrame:
     )
     open_ = (F.col("status") == "PENDING") & F.col("_answered")
     new = F.when(open_ & F.coalesce(agrees, F.lit(False)), "PAID").when(open_, "CANCLED").otherwise(F.col("status"))
-    return (
-        payments.join(answer, "txn_ref", "left")
-        .withColumn("new_status", new)
-        .drop("response_code", "amount_minor", "txn_type", "txn_status", "_answered")
-    )
+    return met.withColumn("new_status", new).drop("response_code", "amount_minor", "txn_type", "txn_status", "_answered")
