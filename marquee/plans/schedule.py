@@ -3,9 +3,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marquee.operators import seat_bits as W
 from marquee.operators import shows as S
 from marquee.plans.oracle import with_views
 from marquee.plans.registry import plan
+from marquee.session import materialize
 from marquee.sources.testdata import Views
 
 
@@ -184,6 +186,27 @@ def _full(v: Views) -> DataFrame:
     return S.full_shows(v.shows, v.show_seats).select("show_id", "hall_id", "movie_id")
 
 
+_CHANGED = """SELECT show_id, CASE WHEN (row_index + col_index) % 3 = 0 AND status = 'PENDING' THEN 'AVAILABLE'
+  WHEN row_index = 1 AND col_index = 2 THEN 'UNAVAILABLE' ELSE status END AS status FROM show_seats"""
+
+
+@plan(
+    "seat_word_counts",
+    with_views(
+        "SELECT show_id, status, count(*) AS n FROM changed GROUP BY show_id, status",
+        "show_seats",
+        changed=_CHANGED,
+    ),
+)
+def _word_counts(v: Views) -> DataFrame:
+    """Seats kept as bits: pending ones of every third place fall free, one place of each hall is closed."""
+    words = materialize(W.seat_words(v.show_seats, v.halls))
+    to = F.when((F.col("row_index") == 1) & (F.col("col_index") == 2), "UNAVAILABLE")
+    freed = ((F.col("row_index") + F.col("col_index")) % 3 == 0) & (F.col("status") == "PENDING")
+    changes = v.show_seats.withColumn("new_status", F.when(freed, "AVAILABLE").otherwise(to)).filter("new_status IS NOT NULL")
+    return W.status_counts(W.moved(words, changes, v.halls))
+
+
 _PAIRED = """SELECT a.*, b.show_id AS id2, b.start_time AS s2, b.end_time AS e2 FROM {asked} a JOIN shows b
   ON b.hall_id = a.hall_id AND a.start_time <= b.end_time AND a.end_time >= b.start_time AND a.show_id <> b.show_id"""
 _NAMED = """coalesce(
