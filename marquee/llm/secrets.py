@@ -9,13 +9,17 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import ascii_lower, stored, words
+from marquee.llm.common import stored, words
 
 #: A candidate is a run of at least so many characters of this kind.
 LEAST = 16
 RUN = f"[A-Za-z0-9+/_-]{{{LEAST},}}"
-#: Words of the corpus the dictionary holds, and the labelled findings of each kind the forest is trained on.
-DICTIONARY = 400
+#: A part of a finding is a word if it stands in the corpus so often as a word of its own.
+COMMON = 5
+WHOLE_WORD = r"(?<![^\s(\"'])\p{L}{3,}(?=[\s.,;:!?)\"']|$)"
+#: Parts of up to so many kinds are broadcast to be counted.
+BROADCAST_ROWS = 200_000
+#: Labelled findings of each kind the forest is trained on.
 LABELLED = 4_000
 NAMES = "secret|token|passw|passwd|pwd|api|key|auth|credential|private"
 #: A secret-like name; it, an = or :, and the value given to it, which is a candidate from so many characters on.
@@ -46,12 +50,29 @@ FEATURES = [
 ]
 
 
-def dictionary(docs: DataFrame, text_column: str = "text", top: int = DICTIONARY) -> list[str]:
-    """The most frequent words of 3 to 8 letters a-z, counted over all rows; ties by word."""
-    each = docs.select(F.explode(words(ascii_lower(F.col(text_column)))).alias("w"))
-    short = each.where((F.octet_length("w") >= 3) & (F.octet_length("w") <= 8)).where(F.col("w").rlike("^[a-z]+$"))
-    counted = short.groupBy("w").agg(F.count("*").alias("n"))
-    return [r.w for r in counted.orderBy(F.desc("n"), "w").limit(top).collect()]
+def parts(finding: Column) -> Column:
+    """The letter runs of a finding that may be words, in lower case; a capital begins a new one (`apiKeyOf`, `HTTPServer`)."""
+    runs = F.regexp_extract_all(finding, F.lit(r"\p{Lu}?\p{Ll}{2,}|\p{Lu}{3,}"), 0)
+    return F.transform(runs, F.lower)
+
+
+def word_table(docs: DataFrame, asked: DataFrame, text_column: str = "text", least: int = COMMON) -> DataFrame:
+    """(part): those of the distinct `asked` parts that stand in the texts as a word of their own at least `least` times.
+
+    Only asked words are counted, over all rows; the list of them is broadcast where it is short.
+    """
+    known = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+    each = docs.select(F.explode(F.regexp_extract_all(F.lower(text_column), F.lit(WHOLE_WORD), 0)).alias("part"))
+    return each.join(known, "part", "left_semi").groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("part")
+
+
+def with_coverage(found: DataFrame, known: DataFrame) -> DataFrame:
+    """Adds `covered`: how many letters of the finding are in parts that `known` has."""
+    each = found.select("finding").distinct().select("finding", F.explode(parts(F.col("finding"))).alias("part"))
+    counted = each.join(known, "part").groupBy("finding").agg(F.sum(F.length("part")).alias("covered"))
+    counted = counted.withColumnRenamed("finding", "finding_")
+    met = found.join(counted, F.col("finding") == F.col("finding_"), "left").drop("finding_")
+    return met.withColumn("covered", F.coalesce("covered", F.lit(0)))
 
 
 def assigned_values(lead_in: Column, text: Column, rest: Column) -> Column:
@@ -127,14 +148,12 @@ def candidates(docs: DataFrame, id_column: str, text_column: str, path_column: s
     )
 
 
-def with_features(found: DataFrame, known: list[str]) -> DataFrame:
+def with_features(found: DataFrame, known: DataFrame) -> DataFrame:
     """The FEATURES of each candidate: its length and characters, their transitions, dictionary, path and neighbours."""
+    columns, found = found.columns, with_coverage(found, known)
     v, n = F.col("finding"), F.length("finding").cast("double")
     share = lambda pattern: F.regexp_count(v, F.lit(pattern)) / n
     near = F.lower(F.concat_ws(" ", "before", "lead"))
-    rest = F.lower(v)
-    if known:
-        rest = F.regexp_replace(rest, "|".join(sorted(known, key=lambda w: (-len(w), w))), "")
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     letters = F.transform(F.regexp_extract_all(v, F.lit("[A-Za-z]+"), 0), lambda x: F.length(x))
     values: dict[str, Column] = {
@@ -143,7 +162,7 @@ def with_features(found: DataFrame, known: list[str]) -> DataFrame:
         "uppers": share("[A-Z]"),
         "kinds": F.size(F.array_distinct(F.split(v, ""))) / n,
         "hex": flag(v.rlike("^[0-9a-f]+$")),
-        "coverage": 1 - F.length(rest) / n,
+        "coverage": F.col("covered") / n,
         "longest_letters": F.coalesce(F.array_max(letters), F.lit(0)) / n,
         **{name: share(pattern) for name, pattern in STEPS.items()},
         "named": flag(near.rlike(NAMES)),
@@ -153,7 +172,7 @@ def with_features(found: DataFrame, known: list[str]) -> DataFrame:
         "trial_path": flag(F.lower("path").rlike(TRIAL_PATHS)),
         "path_depth": F.coalesce(F.regexp_count("path", F.lit("/")), F.lit(0)).cast("double"),
     }
-    return found.select("*", *[values[name].cast("double").alias(name) for name in FEATURES])
+    return found.select(*columns, *[values[name].cast("double").alias(name) for name in FEATURES])
 
 
 def rule_labels(found: DataFrame) -> DataFrame:
@@ -220,11 +239,14 @@ def scan(
     `word` is the index of the white-space separated word the string stands in. `labelled` holds labelled findings, in
     the columns of `candidates` and `label`; without it `rule_labels` labels those of `docs`. About `most_labelled`
     rows of each kind, picked by hash, train the forest; all candidates of all whole texts are judged. A text that is
-    null or empty has none, an empty table none at all; null ids and paths are allowed, rows repeated are reported each.
+    null or empty has none, an empty table none at all; texts may be of any length, a text is held in memory as a whole; null ids and paths are allowed, rows repeated are reported each.
     Where the labels are all of one kind that kind is the verdict; without any, all candidates are reported as secrets.
     """
-    known = dictionary(docs, text_column)
-    found = stored(with_features(candidates(docs, id_column, text_column, path_column), known), "candidates")
+    raw = stored(candidates(docs, id_column, text_column, path_column), "findings")
+    findings = raw.select("finding") if labelled is None else raw.select("finding").unionByName(labelled.select("finding"))
+    asked = stored(findings.select(F.explode(parts(F.col("finding"))).alias("part")).distinct(), "parts")
+    known = stored(word_table(docs, asked, text_column), "words")
+    found = stored(with_features(raw, known), "candidates")
     given = rule_labels(found) if labelled is None else with_features(labelled, known)
     chosen = stored(sample(given.where("label is not null"), most_labelled).coalesce(1), "labelled")
     judged = judge(found, train(chosen.orderBy("finding", "before", "lead", "id", "word").coalesce(1)))

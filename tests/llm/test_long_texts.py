@@ -23,7 +23,7 @@ GATHERED = {
     "lm": (3, "contexts that hold more than one of MOST_HOT tokens each, three lists a level"),
     "mixing": (1, "sources, at most MOST_SOURCES"),
     "pii": (1, "LABELLED sequences"),
-    "secrets": (3, "DICTIONARY words; two kinds of label, twice"),
+    "secrets": (2, "two kinds of label, twice"),
     "shards": (2, "the heap's items: groups above a share of the bytes, and bundles by hash"),
     "warc": (1, "one row a partition: the directory of archives"),
     "whitening": (3, "the most common length; dimensions; pairs of dimensions"),
@@ -185,3 +185,16 @@ def test_clashing_columns_of_identified_rows(spark):
     docs = spark.createDataFrame([(1, "the cat", "en", 5, 6)], "doc_id long, text string, lang string, whole_row int, id int")
     kept = language.keep_identified(docs.withColumn("doc_id", F.lit(3).cast("long")))
     assert kept.columns == docs.columns and kept.count() == 1
+
+
+def test_dictionary_is_counted_over_the_corpus(spark):
+    """Words of any length and script count where the texts have them; parts of random strings do not."""
+    texts = ["The configuration, straße and überraschung (straße) of configuration."] * 3 + ["x = getConfigurationOfStraße_HTTP"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    asked = spark.createDataFrame([("configuration",), ("straße",), ("überraschung",), ("get",), ("http",)], "part string")
+    known = secrets.word_table(docs, asked, least=5)
+    assert {r.part for r in known.collect()} == {"configuration", "straße"}
+    found = spark.createDataFrame([("getConfigurationOfStraße_HTTP",), ("zq8Kx",), ("configuration",), ("CONFIGURATION",)], "finding string")
+    assert {r.finding: r.covered for r in secrets.with_coverage(found, known).collect()} == {
+        "getConfigurationOfStraße_HTTP": 19, "zq8Kx": 0, "configuration": 13, "CONFIGURATION": 13,
+    }
