@@ -317,6 +317,7 @@ def update_shows(
             .when(F.col("duration_mins").isNull(), V.MOVIE_NOT_FOUND),
         )
     )
+    known = materialize(known)  # the sweep and the result both read it
     moved = known.filter("reason IS NULL AND _moved").withColumn("show_id", F.concat(F.lit("new:"), "show_id"))
     timed = ["show_id", "hall_id", "start_time", "end_time"]
     met = conflicts(moved, shows, rows_per_chunk).withColumn("show_id", F.expr("substring(show_id, 5)"))

@@ -93,7 +93,7 @@ def test_anomalies_equal_batch(spark, events, event_folder, tmp_path):
 def test_dedup_then_anomalies_in_one_query(spark, events, event_folder, tmp_path):
     out = str(tmp_path / "logs")
     deduped = windows.dedup_exact(source.event_files(spark, event_folder, files_per_trigger=1), DAY)
-    run(SA.detect(deduped, fast_seconds=FAST_SECONDS), sinks.append_once(out), tmp_path)
+    run(SA.detect(deduped, fast_seconds=FAST_SECONDS, lateness=None), sinks.append_once(out), tmp_path)
     expected = A.anomaly_logs(A.with_history(R.dedup_events(events, DAY), fast_seconds=FAST_SECONDS))
     assert rows(spark.read.parquet(out), "log_id") == rows(expected, "log_id")
 
@@ -171,3 +171,23 @@ def test_missing_address_and_amount_across_batches(spark, tmp_path):
     run(SA.with_history(source.event_files(spark, folder, files_per_trigger=1)), sinks.append_once(out), tmp_path)
     columns = ("event_id", "is_device_change", "history_n", F.round("z", 9))
     assert rows(spark.read.parquet(out), *columns) == rows(A.with_history(events), *columns)
+
+
+def test_address_is_forgotten_after_its_days(spark, tmp_path):
+    """With `address_days` a user who was away that long has no address to differ from; without, the change counts."""
+    given = [("a", "u", 0, "A"), ("b", "u", 50, "B"), ("c", "u", 60, "A"), ("d", "v", 0, "A"), ("e", "v", 100, "B"), ("z", "w", 400, "A")]
+    schema = T.StructType.fromDDL(PAYMENT_EVENT)
+    made = [
+        {"event_id": e, "payment_id": e, "user_id": u, "device_ip": ip, "event_time": datetime(2024, 1, 1) + timedelta(days=d), "amount": 1.0}
+        for e, u, d, ip in given
+    ]
+    events = spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in made], schema)
+    folder = str(tmp_path / "in")
+    for low, high in ((0, 55), (55, 90), (90, 500)):
+        part = events.filter((F.datediff("event_time", F.lit("2024-01-01")) >= low) & (F.datediff("event_time", F.lit("2024-01-01")) < high))
+        part.coalesce(1).write.mode("append").parquet(folder)
+    for days, want in ((None, {"b", "c", "e"}), (70, {"b", "c"}), (20, {"c"})):
+        out = str(tmp_path / f"out{days}")
+        stream = SA.with_history(source.event_files(spark, folder, files_per_trigger=1), address_days=days)
+        run(stream, sinks.append_once(out), tmp_path / f"state{days}")
+        assert {r.event_id for r in spark.read.parquet(out).filter("is_device_change").collect()} == want, days
