@@ -60,7 +60,7 @@ BAD_DATE = "Invaild date format, it must be dd/MM/yyyy HH:mm"
 HALL_NOT_FOUND = "Hall is not found"
 MOVIE_NOT_FOUND = "Movie is not found"
 SHOW_MISSING = "Show not found"
-SHOW_CONFLICT = "Conflict start/end time with another show"
+SHOW_CONFLICT = "Conflict start/end time with show ID: "
 SEAT_MISSING = "Seat not found"
 BAD_SEAT_TYPE = "Invalid seat type. It must be REGULAR or PREMIUM"
 BAD_SEAT_STATUS = "Status is not found. It must be AVAILABLE or UNAVAILABLE"

@@ -297,7 +297,7 @@ def update_shows(
     """Updates of shows with what the show becomes, or a reason; `resets_seats` where its hall changes.
 
     A start that cannot be read or does not change keeps the times.  A new start
-    must not conflict with another show of the hall as scheduled now.
+    must not conflict with another show of the hall as scheduled now; the reason names that show (of several as `conflicts` does).
     """
     old = shows.select("show_id", *[F.col(c).alias(f"old_{c}") for c in ("hall_id", "movie_id", "start_time", "end_time")])
     known = (
@@ -327,14 +327,34 @@ def update_shows(
         & (F.col("end_time") >= F.col("old_start_time"))
     )
     others = F.coalesce("n_conflicts", F.lit(0)) - F.when(F.col("_moved") & own, 1).otherwise(0)
+    met = materialize(met.select(*timed, "n_conflicts", "conflict_with"))
+    named = F.concat(F.lit(V.SHOW_CONFLICT), F.coalesce("_other", "conflict_with"))
     return (
-        known.join(met.select(*timed, "n_conflicts"), timed, "left")
-        .withColumn("reason", F.coalesce("reason", F.when(others > 0, V.SHOW_CONFLICT)))
+        known.join(met, timed, "left")
+        .join(_other_conflicts(met, shows), timed, "left")
+        .withColumn("reason", F.coalesce("reason", F.when(others > 0, named)))
         .withColumn("resets_seats", F.col("reason").isNull() & (F.col("hall_id") != F.col("old_hall_id")))
         .select("show_id", "hall_id", "movie_id", "start_time", "end_time", "resets_seats", "reason")
     )
 
 
+def _other_conflicts(met: DataFrame, shows: DataFrame) -> DataFrame:
+    """The other show that moved shows conflict with where the one named is their own time so far; pairs for these alone."""
+    timed = ["show_id", "hall_id", "start_time", "end_time"]
+    own = met.filter((F.col("conflict_with") == F.col("show_id")) & (F.col("n_conflicts") > 1))
+    asked = own.select(F.concat(F.lit("new:"), "show_id").alias("show_id"), *timed[1:])
+    pairs = conflicting_shows(asked, shows).filter(F.concat(F.lit("new:"), "show_id") != F.col("candidate_id"))
+    same = F.col("show_start") == F.col("candidate_start")
+    before = (F.col("show_start") < F.col("candidate_start")) | (same & (F.col("show_id") < F.col("candidate_id")))
+    longest = F.max(F.when(before, F.struct("show_end", "show_id")))["show_id"]
+    latest = F.max(F.when(~before, F.struct("show_start", "show_id")))["show_id"]
+    found = pairs.groupBy("candidate_id", "hall_id", "candidate_start", "candidate_end").agg(F.coalesce(longest, latest).alias("_other"))
+    return found.select(
+        F.expr("substring(candidate_id, 5)").alias("show_id"), "hall_id",
+        F.col("candidate_start").alias("start_time"), F.col("candidate_end").alias("end_time"), "_other",
+    )
+
+
 def without_halls(show_seats: DataFrame, halls: DataFrame) -> DataFrame:
     """Show seats less those whose seat belongs to one of `halls`."""
     return show_seats.join(halls.select("hall_id"), "hall_id", "left_anti")

@@ -36,6 +36,15 @@ def _genre(v: Views) -> DataFrame:
     return C.genre_search(v.movies, v.movie_genre, "R_n")
 
 
+@plan(
+    "genres_in_list",
+    with_views("SELECT genre, count(*) AS n FROM movie_genre WHERE genre IN ('red', 'blue', 'no such genre') GROUP BY genre", "movie_genre"),
+)
+def _genres_in(v: Views) -> DataFrame:
+    """Movies of each listed genre that exists."""
+    return C.genres_in(v.movie_genre, ["red", "blue", "no such genre"]).groupBy("genre").agg(F.count(F.lit(1)).alias("n"))
+
+
 @plan(
     "genre_lookup",
     with_views(

@@ -40,6 +40,11 @@ def _hourly(v: Views) -> DataFrame:
     return rounded(R.hourly_revenue(accepted(v)))
 
 
+@plan("paid_revenue", with_views(_HOURLY.replace("FROM accepted", "FROM accepted WHERE status = 'PAID'"), "accepted"))
+def _paid(v: Views) -> DataFrame:
+    return rounded(R.hourly_revenue(accepted(v), paid_only=True))
+
+
 @plan(
     "revenue_at",
     with_views(

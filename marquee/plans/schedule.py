@@ -227,6 +227,19 @@ def _conflicts(v: Views) -> DataFrame:
     return met.select("show_id", "hall_id", "n_conflicts", "conflict_with")
 
 
+@plan(
+    "show_conflicts_endpoint",
+    with_views(
+        "SELECT a.show_id AS candidate_id, b.show_id FROM shows a JOIN shows b ON a.hall_id = b.hall_id AND a.show_id <> b.show_id "
+        "AND (a.start_time BETWEEN b.start_time AND b.end_time OR a.end_time BETWEEN b.start_time AND b.end_time)",
+        "shows",
+    ),
+)
+def _endpoint(v: Views) -> DataFrame:
+    """Pairs of shows of a hall in which the second holds the start or the end of the first."""
+    return S.conflicting_shows(v.shows, v.shows, mode="endpoint").select("candidate_id", "show_id")
+
+
 @plan(
     "show_schedule",
     with_views(
@@ -256,9 +269,12 @@ def _schedule(v: Views) -> DataFrame:
     with_views(
         """SELECT show_id, hall_id, movie_id, start_time, end_time, full_reason AS reason,
              full_reason IS NULL AND hall_id <> old_hall AS resets_seats
-           FROM (SELECT t.*, coalesce(t.reason, CASE WHEN t.moved AND EXISTS (SELECT 1 FROM shows s
-                   WHERE s.hall_id = t.hall_id AND s.show_id <> t.show_id AND s.start_time <= t.end_time
-                   AND s.end_time >= t.start_time) THEN 'Conflict start/end time with another show' END) AS full_reason
+           FROM (SELECT t.*, coalesce(t.reason, CASE WHEN t.moved THEN 'Conflict start/end time with show ID: '
+                   || (SELECT coalesce(
+                         max({'k': s.end_time, 'id': s.show_id}) FILTER (WHERE s.start_time <= t.start_time),
+                         max({'k': s.start_time, 'id': s.show_id}) FILTER (WHERE s.start_time > t.start_time)).id
+                       FROM shows s WHERE s.hall_id = t.hall_id AND s.show_id <> t.show_id
+                       AND s.start_time <= t.end_time AND s.end_time >= t.start_time) END) AS full_reason
                  FROM timed t)""",
         "show_updates",
         "halls",

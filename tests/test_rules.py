@@ -166,7 +166,7 @@ def test_show_updates(spark):
     got = S.update_shows(old, updates, halls, movies).collect()
     assert sorted((r.show_id, r.hall_id, r.reason, r.resets_seats) for r in got if r.reason) == [
         ("a", "q", "Hall is not found", False),
-        ("b", "h", "Conflict start/end time with another show", False),
+        ("b", "h", "Conflict start/end time with show ID: a", False),
         ("b", "h", "Movie is not found", False),
         ("c", "h", "Show not found", False),
     ]
@@ -178,6 +178,17 @@ BOOKINGS = "booking_id string, user_id string, show_id string, status string, cr
 PAYMENTS = "payment_id string, booking_id string, amount double, status string, txn_ref string, create_at timestamp_ntz"
 
 
+def test_update_that_overlaps_its_own_time_names_the_other_show(spark):
+    at = lambda m: (START + dt.timedelta(minutes=m)).strftime("%d/%m/%Y %H:%M")
+    old = shows(spark, ("a", 0, 70), ("b", 80, 150), ("c", 155, 220)).withColumn("movie_id", F.lit(1).cast("long"))
+    halls, movies = spark.createDataFrame([("h",)], "hall_id string"), spark.createDataFrame([(1, 60)], "movie_id long, duration_mins int")
+    schema = "show_id string, hall_id string, movie_id long, start_text string"
+    for start, reason in ((60, "a"), (90, "c"), (84, None), (10, "a"), (75, None)):
+        update = spark.createDataFrame([("b", "h", 1, at(start))], schema)
+        got = S.update_shows(old, update, halls, movies).first().reason
+        assert got == (reason and f"Conflict start/end time with show ID: {reason}"), start
+
+
 def test_pending_expiry(spark):
     minutes = {"b14": 14, "b15": 15, "b62": 62, "b80": 80}
     made = [(b, "u", "s", "PENDING", START - dt.timedelta(minutes=m)) for b, m in minutes.items()]
