@@ -55,7 +55,7 @@ def _laid_out(docs: DataFrame, id_column: str, text_column: str, source_column:
         "sizes",
     )
     key = [F.col("source"), F.col("chunk")]
-    inside = Window.partitionBy(*key).orderBy("h", "id", "size")
+    inside = Window.partitionBy(*key).orderBy("h", "id", "size", "text_hash")
     ahead = inside.rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy(*key).agg(F.sum("size").alias("sum"))
     before = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
