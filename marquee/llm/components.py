@@ -17,6 +17,8 @@ def _pull(both: DataFrame) -> DataFrame:
 def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node that has a link to another one: root is the least node it is connected with.
 
+    A link with a null end, or of a node with itself, links nothing; links repeated count once; no links, no rows.
+
     Alternates between hanging larger neighbours and smaller ones onto the least node in sight until all links lead to
     roots. Minima are combined before they are shuffled and the joins can be split, so a hub is no hot spot.
     """

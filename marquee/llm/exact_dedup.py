@@ -40,7 +40,7 @@ def mark_duplicates(
     id stays. An id that is null loses to any other; in a group of null ids alone, keep_id is null and all rows are
     kept = true. Rows repeating both id and text are the same document: all of them count in group_size and carry the
     same verdict (`drop_duplicates` leaves one). An empty table gives an empty result; other columns are ignored.
-    Only ids and digests are shuffled, never texts.
+    Only ids and digests are shuffled, never texts, so these may be of any length.
     """
     digests = stored(docs.select(F.col(id_column).alias("id"), text_digest(F.col(text_column)).alias("digest")), "digests")
     winners = F.broadcast(stored(frequent_winners(digests, support), "winners"))

@@ -39,7 +39,8 @@ def assign_shards(
     group and share a shard. Shards differ by at most the largest item the heap placed: a group above
     1 / (shards * items) of all sizes, or a bundle of smaller groups, which has about that share. A group larger than
     a shard's fair share has a shard of its own as far as there are others; it is never cut. `slot` counts a shard's
-    rows from 0 without gaps, by chunk of the row's hash and then by id; rows repeated get slots of their own. An empty
+    rows from 0 without gaps, by chunk of the row's hash and then by id; rows repeated get slots of their own. Texts may be of any length, a text is
+    held in memory as a whole. An empty
     table gives an empty result; other columns are ignored.
 
     The heap is on the driver and sees at most 2 * shards * items items whatever the input; a bundle takes the groups
