@@ -9,6 +9,7 @@ from marquee import fixed_values as V
 from marquee.functions.business import event_date, event_hour
 from marquee.operators.revenue import dedup_events, hourly_revenue
 from marquee.operators.skew import micros
+from marquee.session import materialize
 
 LATENESS_SECONDS = 86_400
 WITHOUT_KEY, WITHOUT_TIME = "missing paymentId", "missing time"
@@ -66,6 +67,7 @@ def corrections(
     touched = late.groupBy("payment_id").agg(F.min("event_time").alias("since"))
     if moved is not None:
         touched = touched.unionByName(moved.select("payment_id", "since")).groupBy("payment_id").agg(F.min("since").alias("since"))
+    touched = materialize(touched)  # a row per payment with a late event; four places read it
     ttl = F.expr(f"make_dt_interval(0, 0, 0, {int(ttl_seconds)})")
     # a literal, so that files and partitions before it are not read
     first = touched.agg(F.min(F.col("since") - ttl)).first()[0]
@@ -100,7 +102,7 @@ def corrected(accepted: DataFrame, changes: DataFrame) -> DataFrame:
 
 def corrected_revenue(hourly: DataFrame, accepted: DataFrame, changes: DataFrame, zone: str | None = None) -> DataFrame:
     """Stored revenue by hour after corrections: only hours that a correction falls into are added up again."""
-    when = F.col("event_time")
+    when, changes = F.col("event_time"), materialize(changes)
     hours = changes.select(event_date(when, zone).alias("date"), event_hour(when, zone).alias("hour")).distinct()
     rows = accepted.withColumns({"date": event_date(when, zone), "hour": event_hour(when, zone)})
     again = corrected(rows.join(hours, ["date", "hour"], "left_semi").drop("date", "hour"), changes)

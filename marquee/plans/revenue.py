@@ -8,6 +8,7 @@ from marquee.operators import revenue as R
 from marquee.operators.anchored import anchored_windows
 from marquee.plans.oracle import with_views
 from marquee.plans.registry import plan
+from marquee.session import materialize
 from marquee.sources.testdata import Views
 
 DAY = 86_400  # repeats in the given events are days apart
@@ -121,7 +122,7 @@ def _rejects(v: Views) -> DataFrame:
 def _late(v: Views) -> tuple[DataFrame, DataFrame]:
     """(events a stream accepts of those on time, what the late ones change)."""
     on_time, late = L.split_late(L.split_rejects(v.arrivals)[0])
-    taken = R.dedup_events(on_time, DAY, source=v.table("events"))
+    taken = materialize(R.dedup_events(on_time, DAY, source=v.table("events")))  # what the stream has stored
     return taken, L.corrections(taken, on_time, late, DAY, source=v.table("events"))
 
 
