@@ -14,11 +14,11 @@ LISTS = 3
 SHARDS = 64
 
 
-def pieces(text: Column) -> Column:
+def pieces(text: Column, size: int = PIECE) -> Column:
     """The distinct pieces of a text, accents and case folded; none where it is shorter than one."""
     folded = fold_accents(text)
-    cut = F.transform(F.sequence(F.lit(1), F.length(folded) - (PIECE - 1)), lambda i: F.substring(folded, i, PIECE))
-    return F.when(F.length(folded) >= PIECE, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
+    cut = F.transform(F.sequence(F.lit(1), F.length(folded) - (size - 1)), lambda i: F.substring(folded, i, size))
+    return F.when(F.length(folded) >= size, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
 
 
 def _shard(piece: Column) -> Column:
@@ -78,7 +78,7 @@ def search_all(df: DataFrame, key: str, column: str, path: str, keywords: DataFr
     """(keyword, key): every row of `df` for every distinct keyword of the table `keywords` its text holds.
 
     A keyword meets the lists of its rarest pieces, is in question where all of them have a row, and is then looked for
-    in the text. Keywords shorter than a piece meet all texts.
+    in the text. Keywords shorter than a piece meet the letters and pairs of letters of all texts.
     """
     spark = df.sparkSession
     asked = keywords.select("keyword").filter("keyword IS NOT NULL").distinct().withColumn("_ok", _indexable(F.col("keyword")))
@@ -100,8 +100,12 @@ def search_all(df: DataFrame, key: str, column: str, path: str, keywords: DataFr
     texts = df.select(key, F.col(column).alias("_text"))
     test = holds(F.col("_text"), F.col("keyword"), mode)
     found = near.join(texts, key).filter(test).select("keyword", key)
-    short = asked.filter("NOT _ok").select("keyword")
-    return found.unionByName(texts.join(short, test).select("keyword", key))
+    folded = fold_accents(F.col("keyword"))
+    whole_piece = F.when((F.length(folded) < PIECE) & ~F.contains("keyword", F.lit("Σ")), folded).otherwise("")
+    short = asked.filter("NOT _ok").select("keyword", whole_piece.alias("_piece"))
+    little = F.concat(F.array(F.lit("")), *[pieces(F.col("_text"), n) for n in range(1, PIECE)])
+    letters = texts.filter("_text IS NOT NULL").withColumn("_piece", F.explode(little))
+    return found.unionByName(letters.join(short, "_piece").filter(test).select("keyword", key))
 
 
 # -- pages --------------------------------------------------------------------

@@ -28,7 +28,7 @@ def index(titles, tmp_path_factory):
     return path
 
 
-KEYWORDS = ["dem", "ĐÊM", "red", "RED", "the a", "aaa", "aaaa", "aaaaa", "%", "a%b", "x_y", "ssen", "ße", "οδος", "ΟΔΟΣ", "stan", "re", "r", "zzz", "red zzz", " ", "İst", "b" * 50]
+KEYWORDS = ["dem", "ĐÊM", "red", "RED", "the a", "aaa", "aaaa", "aaaaa", "%", "a%b", "x_y", "ssen", "ße", "οδος", "ΟΔΟΣ", "stan", "re", "r", "zzz", "red zzz", " ", "İst", "b" * 50, "", "ΣΟ", "Σ", "ΟΣ"]
 
 
 def ids(df):
