@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.functions.text import fold_accents
-from marquee.session import materialize
+from marquee.operators.skew import BROADCAST_KEYS
+from marquee.session import materialize, stored
 
 PIECE = 3
 #: Lists that are intersected for a keyword: those of its rarest pieces; the text itself decides in the end.
@@ -79,11 +80,15 @@ def search_all(df: DataFrame, key: str, column: str, path: str, keywords: DataFr
 
     A keyword meets the lists of its rarest pieces, is in question where all of them have a row, and is then looked for
     in the text. Keywords shorter than a piece meet the letters and pairs of letters of all texts.
+
+    Files say little about the size of lists, texts and their letters (they pack well, and exploded rows are not counted), so
+    none of these is ever broadcast; short keywords are where they were counted to be few.
     """
     spark = df.sparkSession
     asked = keywords.select("keyword").filter("keyword IS NOT NULL").distinct().withColumn("_ok", _indexable(F.col("keyword")))
+    asked = stored(asked, "keywords")
     cut = asked.filter("_ok").select("keyword", F.explode(pieces(F.col("keyword"))).alias("piece"))
-    sizes = spark.read.parquet(f"{path}/sizes").select("piece", "n")
+    sizes = spark.read.parquet(f"{path}/sizes").select("piece", "n").hint("merge")
     order = Window.partitionBy("keyword").orderBy(F.col("n").asc_nulls_first(), "piece")
     ranked = cut.join(sizes, "piece", "left").withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= LISTS)
     whole = Window.partitionBy("keyword")
@@ -91,7 +96,7 @@ def search_all(df: DataFrame, key: str, column: str, path: str, keywords: DataFr
     chosen = chosen.filter("_all = _met").select("keyword", "piece", "_all")
     lists = spark.read.parquet(f"{path}/lists").select("piece", "key")
     near = (
-        lists.join(chosen, "piece")
+        lists.hint("merge").join(chosen, "piece")
         .groupBy("keyword", F.col("key").alias(key))
         .agg(F.count(F.lit(1)).alias("_n"), F.first("_all").alias("_all"))
         .filter("_n = _all")
@@ -99,12 +104,16 @@ def search_all(df: DataFrame, key: str, column: str, path: str, keywords: DataFr
     )
     texts = df.select(key, F.col(column).alias("_text"))
     test = holds(F.col("_text"), F.col("keyword"), mode)
-    found = near.join(texts, key).filter(test).select("keyword", key)
+    found = near.join(texts.hint("merge"), key).filter(test).select("keyword", key)
     folded = fold_accents(F.col("keyword"))
     whole_piece = F.when((F.length(folded) < PIECE) & ~F.contains("keyword", F.lit("Σ")), folded).otherwise("")
     short = asked.filter("NOT _ok").select("keyword", whole_piece.alias("_piece"))
     little = F.concat(F.array(F.lit("")), *[pieces(F.col("_text"), n) for n in range(1, PIECE)])
     letters = texts.filter("_text IS NOT NULL").withColumn("_piece", F.explode(little))
+    if short.count() <= BROADCAST_KEYS:
+        short = F.broadcast(short)
+    else:
+        letters = letters.hint("merge")
     return found.unionByName(letters.join(short, "_piece").filter(test).select("keyword", key))
 
 

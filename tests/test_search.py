@@ -50,6 +50,14 @@ def test_all_keywords_at_once(spark, titles, index):
         assert got == sorted((k, i) for k in KEYWORDS for i in ids(scan(titles, k)))
 
 
+def test_of_all_tables_only_counted_short_keywords_are_broadcast(spark, titles, index):
+    asked = spark.createDataFrame([(k,) for k in KEYWORDS], "keyword string")
+    plan = X.search_all(titles, "movie_id", "title", index, asked)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") == 1
+    sent = plan[plan.index("BroadcastExchange") :]
+    assert "keywords-" in sent[: sent.index("FileScan") + 800] and "Generate" not in sent[: sent.index("FileScan")]
+
+
 def test_only_lists_of_the_keyword_are_read(titles, index):
     plan = X.search(titles, "movie_id", "title", index, "sang do")._jdf.queryExecution().executedPlan().toString()
     scan = re.search(r"FileScan parquet \[piece.*", plan)[0]
