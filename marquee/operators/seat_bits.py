@@ -9,11 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Up to so many halls, of which two numbers are needed, are broadcast; more are joined by a shuffle.
+BROADCAST_HALLS = 1_000_000
+
 
 def _place(width: Column) -> Column:
     return F.col("row_index") * width + F.col("col_index")
 
 
+def _few(halls: DataFrame) -> DataFrame:
+    return F.broadcast(halls) if halls.count() <= BROADCAST_HALLS else halls
+
+
 def _bit(place: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
 
@@ -21,7 +28,7 @@ def _bit(place: Column) -> Column:
 def seat_words(show_seats: DataFrame, halls: DataFrame) -> DataFrame:
     """(show_id, hall_id, status, word, bits) of a table of seats; combined where the rows are read."""
     place = _place(F.col("total_col"))
-    rows = show_seats.join(halls.select("hall_id", "total_col"), "hall_id").select(
+    rows = show_seats.join(_few(halls.select("hall_id", "total_col")), "hall_id").select(
         "show_id", "hall_id", "status", F.floor(place / 64).cast("int").alias("word"), _bit(place).alias("bit")
     )
     return rows.groupBy("show_id", "hall_id", "status", "word").agg(F.bit_or("bit").alias("bits"))
@@ -30,29 +37,32 @@ def seat_words(show_seats: DataFrame, halls: DataFrame) -> DataFrame:
 def moved(words: DataFrame, changes: DataFrame, halls: DataFrame) -> DataFrame:
     """Words after changes (show_id, row_index, col_index, new_status): a seat leaves the status it had for the new one.
 
-    Only words a change falls into are combined anew; of several changes of a seat the greatest status counts. Changes of
-    seats that a show does not have change nothing.
+    Of several changes of a seat the greatest status counts. Changes of seats that a show does not have change nothing.
+    Words and changes meet once, as the short lists of a show, and what a show becomes is worked out where they met.
     """
-    hall = words.select("show_id", "hall_id").distinct().join(halls.select("hall_id", "total_col"), "hall_id")
-    place = _place(F.col("total_col"))
-    each = (
-        changes.groupBy("show_id", "row_index", "col_index").agg(F.max("new_status").alias("new_status"))
-        .join(hall, "show_id")
-        .select(
-            "show_id", "hall_id", "new_status", F.floor(place / 64).cast("int").alias("word"),
-            _bit(place).alias("bit"),
-        )
-    )
-    to = each.groupBy("show_id", "hall_id", "word", F.col("new_status").alias("status")).agg(F.bit_or("bit").alias("add"))
-    any_ = each.groupBy("show_id", "hall_id", "word").agg(F.bit_or("bit").alias("_touched"))
-    had = words.groupBy("show_id", "hall_id", "word").agg(F.bit_or("bits").alias("_seats"))
-    keys = ["show_id", "hall_id", "word"]
-    both = words.join(to, [*keys, "status"], "full_outer").join(any_.join(had, keys), keys, "left")
+    had = words.groupBy("show_id").agg(F.collect_list(F.struct("hall_id", "word", "status", "bits")).alias("_words"))
+    wanted = changes.groupBy("show_id", "row_index", "col_index").agg(F.max("new_status").alias("new_status"))
+    wanted = wanted.groupBy("show_id").agg(F.collect_list(F.struct("row_index", "col_index", "new_status")).alias("_changes"))
+    widths = halls.groupBy("hall_id").agg(F.collect_set("total_col").alias("_widths"))
+    at = F.explode(F.array_distinct(F.transform("_words", lambda w: F.struct(w["hall_id"].alias("hall_id"), w["word"].alias("word")))))
+    rows = had.join(wanted, "show_id", "left").select("show_id", at.alias("_at"), "_words", "_changes")
+    rows = rows.select("show_id", "_at.*", "_words", "_changes").join(_few(widths), "hall_id", "left")
+
     zero = F.lit(0).cast("long")
-    kept = F.coalesce("bits", zero).bitwiseAND(F.bitwise_not(F.coalesce("_touched", zero)))
-    added = F.coalesce("add", zero).bitwiseAND(F.coalesce("_seats", zero))
-    after = both.withColumn("bits", kept.bitwiseOR(added)).filter("bits <> 0")
-    return after.select("show_id", "hall_id", "status", "word", "bits")
+    here = lambda w: w["hall_id"].eqNullSafe(F.col("hall_id")) & w["word"].eqNullSafe(F.col("word"))
+    place = lambda c, width: c["row_index"] * width + c["col_index"]
+    falls = lambda c, width: F.floor(place(c, width) / 64) == F.col("word")
+    bit = lambda c, width: F.struct(c["new_status"].alias("status"), _bit(place(c, width)).alias("bits"))
+    by_width = lambda width: F.transform(F.filter("_changes", lambda c: falls(c, width)), lambda c: bit(c, width))
+    rows = rows.withColumn("_had", F.filter("_words", here)).withColumn("_to", F.flatten(F.transform("_widths", by_width)))
+    bits_of = lambda a: F.aggregate(a, zero, lambda x, w: x.bitwiseOR(F.coalesce(w["bits"], zero)))
+    rows = rows.withColumn("_seats", bits_of("_had")).withColumn("_touched", F.coalesce(bits_of("_to"), zero))
+    changed = lambda w, bits: F.struct(w["status"].alias("status"), bits.alias("bits"))
+    kept = F.transform("_had", lambda w: changed(w, w["bits"].bitwiseAND(F.bitwise_not(F.col("_touched")))))
+    added = F.transform("_to", lambda c: changed(c, c["bits"].bitwiseAND(F.col("_seats"))))
+    after = rows.select("show_id", "hall_id", "word", F.explode(F.when(F.col("_to").isNull(), kept).otherwise(F.concat(kept, added))).alias("_w"))
+    after = after.groupBy("show_id", "hall_id", F.col("_w.status").alias("status"), "word").agg(F.bit_or("_w.bits").alias("bits"))
+    return after.filter("bits <> 0").select("show_id", "hall_id", "status", "word", "bits")
 
 
 def status_counts(words: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from marquee.operators import seat_bits as W
 from marquee.plans.all import PLANS
 from marquee.session import tune
 from marquee.sources.testdata import Views
@@ -19,3 +22,27 @@ def test_seat_map_moves_no_seat(spark, tiny):
     plan = physical(PLANS["seat_map"](Views(tune(spark), tiny)))
     assert "Exchange" not in above_the_seats(plan)
     assert "ObjectHashAggregate" not in plan
+
+
+def shuffles(plan: str) -> int:
+    return len(re.findall(r"(?<!Broadcast)Exchange ", plan))
+
+
+def test_seat_words_move_no_seat(spark, tiny):
+    v = Views(tune(spark), tiny)
+    assert shuffles(above_the_seats(physical(W.seat_words(v.show_seats, v.halls)))) == 0
+
+
+def test_words_and_changes_meet_once(spark):
+    words = spark.createDataFrame([("s", "h", "A", 0, 7), ("s", "h", "A", 1, 1), ("t", "g", "A", 0, 1)], "show_id string, hall_id string, status string, word int, bits long")
+    changes = spark.createDataFrame(
+        [("s", 0, 1, "B"), ("s", 0, 1, "A"), ("s", 0, 9, "B"), ("t", 0, 0, "B"), ("u", 0, 0, "B"), ("s", 6, 4, "C")],
+        "show_id string, row_index int, col_index int, new_status string",
+    )
+    halls = spark.createDataFrame([("h", 10), ("h", 10)], "hall_id string, total_col int")  # a hall that comes twice, one that is not there
+    after = W.moved(words, changes, halls)
+    assert sorted(map(tuple, after.collect())) == [
+        ("s", "h", "A", 0, 5), ("s", "h", "B", 0, 2), ("s", "h", "C", 1, 1), ("t", "g", "A", 0, 1),
+    ]
+    assert physical(after).count("Join") - physical(after).count("BroadcastHashJoin") <= 1
+    assert shuffles(physical(W.status_counts(after))) <= 4
