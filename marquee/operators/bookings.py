@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee import fixed_values as V
-from marquee.session import materialize
+from marquee.session import stored
 
 
 def by_status(bookings: DataFrame, status: str) -> DataFrame:
@@ -112,24 +112,20 @@ def check_requests(
     """
     asked_shows = requests.select("show_id").distinct()
     show_seats = show_seats.join(asked_shows, "show_id", "left_semi")
-    open_seats = show_seats.groupBy("show_id").agg(F.count_if(F.col("status") == "AVAILABLE").alias("_open"))
-    wanted = requests.select(
-        "request_id", "requested_at", "show_id", F.explode(F.array_distinct("seat_ids")).alias("seat_id")
+    # A request meets the seats of its show as one list, no longer than the hall has seats.
+    stock = show_seats.groupBy("show_id").agg(
+        F.count_if(F.col("status") == "AVAILABLE").alias("_open"), F.collect_list(F.struct("seat_id", "status")).alias("_stock")
     )
-    problem = F.when(F.col("status").isNull(), F.concat(F.lit(V.SEAT_NOT_FOUND), "seat_id")).when(
-        F.col("status") != "AVAILABLE", F.format_string(V.SEAT_RESERVED, "seat_id")
+    met = (
+        requests.join(shows.select("show_id", F.lit(True).alias("_show")), "show_id", "left")
+        .join(stock, "show_id", "left")
+        .withColumn("_bad", _problem(F.col("seat_ids"), F.col("_stock")))
+        .drop("_stock")
     )
-    seat_problems = (
-        wanted.join(show_seats.select("show_id", "seat_id", "status"), ["show_id", "seat_id"], "left")
-        .filter(F.col("status").isNull() | (F.col("status") != "AVAILABLE"))
-        .groupBy("request_id")
-        .agg(F.min(F.struct("seat_id", problem.alias("text"))).alias("_seat"))
-    )
-    judged = materialize(
-        requests.join(users.select("user_id", F.col("status").alias("_user")), "user_id", "left")
-        .join(shows.select("show_id", F.lit(True).alias("_show")), "show_id", "left")
-        .join(open_seats, "show_id", "left")
-        .join(seat_problems, "request_id", "left")
+    of_request = F.min("_bad").over(Window.partitionBy("request_id"))
+    judged = stored(
+        met.withColumn("_seat", F.when(F.col("request_id").isNotNull(), of_request))
+        .join(users.select("user_id", F.col("status").alias("_user")), "user_id", "left")
         .select(
             *[F.col(c) for c in requests.columns],
             "_open",
@@ -140,14 +136,15 @@ def check_requests(
             .when(F.col("_show").isNull(), V.SHOW_NOT_FOUND)
             .when(F.coalesce("_open", F.lit(0)) == 0, V.SHOW_FULL)
             .alias("_reason"),
-        )
+        ),
+        "judged",
     )
     served = judged.filter(F.col("_reason").isNull())
     wants = served.select(
         "request_id", "requested_at", "show_id", "_open", "_seat", F.explode(F.array_distinct("seat_ids")).alias("seat_id")
     )
     free = served.filter(F.col("_seat").isNull() & (F.size("seat_ids") > 0))
-    given = materialize(_given(free.withColumn("seats", F.array_sort(F.array_distinct("seat_ids")))))
+    given = stored(_given(free.withColumn("seats", F.array_sort(F.array_distinct("seat_ids")))), "given")
     turn = F.struct("requested_at", "request_id")
     # an open seat is given once, so the show is full from its last one on
     filled = (
@@ -174,6 +171,22 @@ def check_requests(
     )
 
 
+def _problem(seat_ids: Column, stock: Column) -> Column:
+    """The least (seat_id, text) of the asked seats that the show does not have or that are not available."""
+    kind = "array<struct<seat_id:string,text:string>>"
+    has = F.coalesce(stock, F.array().cast("array<struct<seat_id:string,status:string>>"))
+
+    def of_seat(seat: Column) -> Column:
+        missing = F.struct(seat.alias("seat_id"), F.concat(F.lit(V.SEAT_NOT_FOUND), seat).alias("text"))
+        reserved = F.struct(seat.alias("seat_id"), F.format_string(V.SEAT_RESERVED, seat).alias("text"))
+        same = F.filter(has, lambda s: s["seat_id"] == seat)
+        bad = F.filter(same, lambda s: s["status"].isNull() | (s["status"] != "AVAILABLE"))
+        said = F.transform(bad, lambda s: F.when(s["status"].isNull(), missing).otherwise(reserved))
+        return F.when(F.size(same) == 0, F.array(missing)).otherwise(said).cast(kind)
+
+    return F.array_min(F.flatten(F.transform(F.coalesce(F.array_distinct(seat_ids), F.array().cast("array<string>")), of_seat)))
+
+
 def _given(wants: DataFrame) -> DataFrame:
     """(request_id, requested_at, show_id, _open, seat_id) of the requests that get all their `seats`.
 

@@ -7,7 +7,7 @@ from marquee.functions.business import show_time_text
 from marquee.operators import bookings as B
 from marquee.plans.oracle import with_views
 from marquee.plans.registry import plan
-from marquee.session import materialize
+from marquee.session import stored
 from marquee.sources.testdata import Views
 
 AS_OF = "1999-06-01 12:07:00"  # some of the given pending bookings are younger
@@ -184,7 +184,7 @@ def _payment_requests(v: Views) -> DataFrame:
     ),
 )
 def _checked(v: Views) -> DataFrame:
-    requests = materialize(v.booking_requests)  # derived here; requests proper are a stored table
+    requests = stored(v.booking_requests, "requests")  # derived here; requests proper are a stored table
     checked = B.check_requests(requests, v.users, v.shows, v.request_seats)
     return checked.select("request_id", "user_id", "show_id", "accepted", "reason")
 

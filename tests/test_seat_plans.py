@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import functions as F
+
+from marquee.operators import bookings as B
 from marquee.operators import seat_bits as W
 from marquee.plans.all import PLANS
 from marquee.session import tune
@@ -46,3 +49,24 @@ def test_words_and_changes_meet_once(spark):
     ]
     assert physical(after).count("Join") - physical(after).count("BroadcastHashJoin") <= 1
     assert shuffles(physical(W.status_counts(after))) <= 4
+
+
+def test_requests_are_checked_without_dealing_out_seats(spark, tiny, monkeypatch):
+    name = "stored" if hasattr(B, "stored") else "materialize"
+    kept, plans = getattr(B, name), []
+    monkeypatch.setattr(B, name, lambda df, *label: plans.append(physical(df)) or kept(df, *label))
+    v = Views(tune(spark), tiny)
+    B.check_requests(v.booking_requests, v.users, v.shows, v.request_seats)
+    assert len(plans) == 2 and not re.search(r"Exchange hashpartitioning\([^)]*seat_id", plans[0])
+
+
+def test_problems_of_seats(spark):
+    stock = "array(struct('1', 'AVAILABLE'), struct('2', 'BOOKED'), struct('2', 'AVAILABLE'), struct('3', null))"
+    rows = spark.createDataFrame(
+        [(["1"],), (["1", "2"],), (["4", "2"],), (["3", "4"],), ([],), (None,), (["1", None],)], "seat_ids array<string>"
+    ).withColumn("stock", F.expr(f"cast({stock} as array<struct<seat_id:string,status:string>>)"))
+    got = rows.select(B._problem(F.col("seat_ids"), F.col("stock"))["text"].alias("a"), B._problem(F.col("seat_ids"), F.lit(None))["text"].alias("b"))
+    assert [r.a for r in got.collect()] == [None, "Seat ID 2 is reserved", "Seat ID 2 is reserved", "Not found seat id: 3", None, None, None]
+    assert [r.b for r in got.collect()] == [
+        "Not found seat id: 1", "Not found seat id: 1", "Not found seat id: 2", "Not found seat id: 3", None, None, None,
+    ]
