@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marquee.operators import bookings as B
 from marquee.operators import seat_bits as W
+from marquee.operators import shows as S
 from marquee.plans.all import PLANS
 from marquee.session import tune
 from marquee.sources.testdata import Views
@@ -70,3 +71,40 @@ def test_problems_of_seats(spark):
     assert [r.b for r in got.collect()] == [
         "Not found seat id: 1", "Not found seat id: 1", "Not found seat id: 2", "Not found seat id: 3", None, None, None,
     ]
+
+
+def test_status_counts_send_no_grid_to_the_driver(spark, tiny):
+    plan = physical(PLANS["seat_status_counts"](Views(tune(spark), tiny)))
+    assert "Exchange" not in above_the_seats(plan)
+
+
+def test_inventory_sends_no_grid_to_the_driver(spark, tiny):
+    above = above_the_seats(physical(PLANS["show_seat_inventory"](Views(tune(spark), tiny))))
+    assert above[above.rindex("Exchange") :].startswith("Exchange hashpartitioning(hall_id")
+
+
+def test_many_seats_of_halls_meet_as_lists(spark, monkeypatch):
+    shown = spark.createDataFrame(
+        [("s", "h", 0, 0, "A"), ("s", "h", 0, 1, "B"), ("s", "h", 0, 1, "B"), ("t", "h", 0, 0, None), ("s", "g", 0, 0, "A"),
+         ("t", "h", 9, 9, "A"), ("u", "no", 0, 0, "A"), ("v", None, 0, 0, "A"), (None, "h", 0, 0, "C")],
+        "show_id string, hall_id string, row_index int, col_index int, status string",
+    )
+    seats = spark.createDataFrame(
+        [("h", 0, 0, "R", "h0.0", 1.0), ("h", 0, 1, "P", "h0.1", 2.0), ("g", 0, 0, "R", "g0.0", 1.0), ("g", 0, 0, "P", "again", 2.0)],
+        "hall_id string, row_index int, col_index int, seat_type string, seat_name string, price double",
+    )
+    few = S.seat_list(shown, seats)
+    monkeypatch.setattr(S, "BROADCAST_SEATS", 0)
+    many = S.seat_list(shown, seats)
+    assert many.columns == few.columns and "BroadcastExchange" not in physical(many)
+    assert sorted(map(repr, many.collect())) == sorted(map(repr, few.collect())) and few.count() == 7
+
+
+def test_conflicts_deal_out_halls_once(spark):
+    made = "cast(id AS string) show_id, cast(id % 3 AS string) hall_id, timestamp_seconds(id * 60) start_time, timestamp_seconds(id * 60 + 500) end_time"
+    shows = spark.range(40).selectExpr(*made.split(", "))
+    asked = spark.range(40, 60).selectExpr(*made.split(", "))
+    met = S.conflicts(asked, shows)
+    assert shuffles(physical(met)) == 1
+    pairs = S.conflicting_shows(asked, shows).groupBy("candidate_id").count().collect()
+    assert {r.show_id: r.n_conflicts for r in met.collect() if r.n_conflicts} == {r[0]: r[1] for r in pairs}
